@@ -37,7 +37,6 @@ def collapse(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, rf"[{BLANK}]+", " "))
 
 
-@F.pandas_udf("string")
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
@@ -46,7 +45,7 @@ def nfc(col: Column) -> Column:
     """Canonical composition.  Only rows that hold a combining mark or a singleton
     leave the JVM; the rest pass through untouched."""
     risky = F.rlike(col, F.lit(r"[\p{M}̀-ͅʹ;·ᄀ-ᇿἀ-῿ - ΩKÅ豈-﫿]"))
-    return F.when(risky, _nfc(F.when(risky, col))).otherwise(col)
+    return F.when(risky, F.pandas_udf(_nfc, "string")(F.when(risky, col))).otherwise(col)
 
 
 def clean(col: Column) -> Column:
