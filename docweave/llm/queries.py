@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import addresses, splits
+from docweave.llm import addresses, canonical, splits
 from docweave.llm.sql import SQL
 from docweave.sources.tables import table
 
@@ -24,6 +24,21 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return splits.straddling(splits.assign(splits.records(table(spark, folder, "kie_split"))))
 
 
+def _texts(spark: SparkSession, folder: str) -> dict[str, tuple[DataFrame, str, str]]:
+    cells = table(spark, folder, "line_cells").where("field = 'description'")
+    return {"text": (table(spark, folder, "transcriptions"), "transcript_id", "text"), "raw_text": (cells, "cell_id", "raw_text")}
+
+
+def p2_consistent(spark: SparkSession, folder: str) -> DataFrame:
+    made = [canonical.consistent(rows.select(F.col(key).alias("id"), F.col(text).alias("text")), "text").select(F.lit(field).alias("field"), "id", "plain") for field, (rows, key, text) in _texts(spark, folder).items()]
+    return made[0].unionByName(made[1])
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    made = [canonical.alike(rows, key, text).select(F.lit(field).alias("field"), "id_a", "id_b") for field, (rows, key, text) in _texts(spark, folder).items()]
+    return made[0].unionByName(made[1])
+
+
 def p4_locations(spark: SparkSession, folder: str) -> DataFrame:
     return addresses.locations(table(spark, folder, "invoice_headers"), table(spark, folder, "city_aliases"))
 
