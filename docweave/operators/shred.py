@@ -216,6 +216,11 @@ def _reach(nodes: list[Column], steps: list[Column], path: Path, near: dict[str,
     return F.flatten(F.filter(deep, lambda x: x.isNotNull()))
 
 
+def _under(reached: Column, above: int, inherit: list[str]) -> Column:
+    """Places with the number of steps that lead to the table row above them."""
+    return F.transform(reached, lambda e: F.struct(F.lit(above).alias("above"), e["steps"], *(e[x] for x in inherit), e["node"]))
+
+
 def populate(df: DataFrame, graph: SchemaGraph, name: str, record: str, payload: str, inherit: list[str] | None = None) -> DataFrame:
     """The rows of one table of the flat schema, from one pass over the payload.
 
@@ -246,7 +251,7 @@ def populate(df: DataFrame, graph: SchemaGraph, name: str, record: str, payload:
     parts = [none]
     for path in relation.paths:
         reached = _reach([F.col("root")], [], path, near[path])
-        parts.append(F.coalesce(F.transform(reached, lambda e, n=relation.above[path]: F.struct(F.lit(n).alias("above"), e["steps"], *(e[x] for x in inherit), e["node"])), none))
+        parts.append(F.coalesce(_under(reached, relation.above[path], inherit), none))
     found = rows.select("record", F.inline(F.concat(*parts)))
     base = [
         "record", "steps",
