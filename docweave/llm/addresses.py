@@ -192,7 +192,11 @@ def resolve(parts: DataFrame, entries: DataFrame) -> DataFrame:
     """
     asked = parts.select("address", "house", "street", "ward", "district", "city", "loose", F.explode(_keys(F.col("street"))).alias("k"))
     known = entries.select("entry", "n", F.col("street").alias("e_street"), F.col("district").alias("e_district"), F.col("city").alias("e_city"), "wards", "houses", F.explode(_keys(F.col("street"))).alias("k"))
-    met = asked.join(known, "k").where(near(F.col("street"), F.col("e_street"))).drop("k").dropDuplicates(["address", "entry"])
+    # Addresses that name their city meet that city's streets only, the others those of the district they name.
+    in_city = asked.where("city is not null").join(known, (asked["k"] == known["k"]) & (asked["city"] == known["e_city"]))
+    in_district = asked.where("city is null and district is not null").join(known, (asked["k"] == known["k"]) & (asked["district"] == known["e_district"]))
+    anywhere = asked.where("city is null and district is null").join(known, asked["k"] == known["k"])
+    met = in_city.union(in_district).union(anywhere).drop("k").where(near(F.col("street"), F.col("e_street"))).dropDuplicates(["address", "entry"])
     exact = F.when(F.col("street") == F.col("e_street"), 3.0).otherwise(2.0)
     # A clear conflict of a named district or city rules a hypothesis out at once.
     same_city = F.when(F.col("city").isNull(), F.when(_any_near(F.col("loose"), F.col("e_city")), 2.0).otherwise(0.0)).when(near(F.col("city"), F.col("e_city")), 2.0).otherwise(-5.0)

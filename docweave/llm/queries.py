@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import addresses, canonical, splits
+from docweave.llm import addresses, canonical, mixing, overlap, packing, quotas, splits
 from docweave.llm.sql import SQL
+from docweave.session import cut
 from docweave.sources.tables import table
 
 
@@ -39,6 +40,22 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return made[0].unionByName(made[1])
 
 
+def _quota_tables(spark: SparkSession, folder: str) -> list[DataFrame]:
+    return [table(spark, folder, name) for name in ("test_manifest", "candidate_pool", "stratum_targets")]
+
+
+def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return quotas.sample(*_quota_tables(spark, folder))
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    return quotas.report(*_quota_tables(spark, folder))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_report(spark, folder).where("shortfall > 0").select("plan_name", "category")
+
+
 def p4_locations(spark: SparkSession, folder: str) -> DataFrame:
     return addresses.locations(table(spark, folder, "invoice_headers"), table(spark, folder, "city_aliases"))
 
@@ -47,6 +64,44 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return addresses.same_location(p4_locations(spark, folder))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.found(table(spark, folder, "test_manifest"), table(spark, folder, "candidate_pool"))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.report(p5_found(spark, folder), table(spark, folder, "test_manifest"), table(spark, folder, "kie_split"))
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), table(spark, folder, "pack_plans"))
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.report(p7_packed(spark, folder), table(spark, folder, "pack_plans"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.split_texts(p7_packed(spark, folder))
+
+
+def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sized = cut(mixing.sizes(table(spark, folder, "documents")))
+    rated = mixing.rates(sized, table(spark, folder, "mix_targets"))
+    return mixing.mix(sized, rated), rated
+
+
+def p8_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder)[0]
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.report(*_mixture(spark, folder))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_report(spark, folder).where("not reached").select("mix_name", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
     return {name: query for name, query in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
