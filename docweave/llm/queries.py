@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import addresses, canonical, mixing, overlap, packing, quotas, splits
+from docweave.llm import addresses, canonical, mixing, overlap, packing, quotas, residue, splits
 from docweave.llm.sql import SQL
 from docweave.session import cut
 from docweave.sources.tables import table
@@ -102,6 +102,14 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_report(spark, folder).where("not reached").select("mix_name", "source")
 
 
+def p9_judged(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.judge(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.found(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
     return {name: query for name, query in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
