@@ -119,9 +119,10 @@ def near(a: Column, b: Column) -> Column:
 
 
 def _keys(name: Column) -> Column:
-    """The name and every form of it with one letter left out: names one edit apart share one."""
+    """Hashes of the name and of every form of it with one letter left out: names one edit apart share one."""
     cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))
-    return F.array_distinct(F.concat(F.array(name), F.when(F.length(name) >= 5, cuts).otherwise(F.array().cast("array<string>"))))
+    forms = F.concat(F.array(name), F.when(F.length(name) >= 5, cuts).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.transform(forms, lambda x: F.xxhash64(x)))
 
 
 def _cluster(spellings: DataFrame, within: list[str], name: str) -> DataFrame:
@@ -207,9 +208,10 @@ def resolve(parts: DataFrame, entries: DataFrame) -> DataFrame:
     same_ward = F.when(F.exists("wards", lambda w: F.exists(written, lambda x: near(x, w))), 1.0).when(F.col("ward").isNotNull() & (F.size("wards") > 0), -0.5).otherwise(0.0)
     house = F.when(F.array_contains("houses", F.col("house")), 0.25).otherwise(0.0)
     three = two.withColumn("s", F.col("s") + same_ward + house)
-    top = three.groupBy("address").agg(F.max("s").alias("top"))
-    won = three.join(top, "address").where(F.col("s") == F.col("top")).groupBy("address").agg(F.count("*").alias("ties"), F.min("entry").alias("entry"))
-    return won.where("ties = 1").select("address", "entry")
+    # At most BEAM hypotheses an address are left here.
+    weighed = three.groupBy("address").agg(F.max("s").alias("top"), F.collect_list(F.struct("s", "entry")).alias("hypotheses"))
+    best = F.filter("hypotheses", lambda h: h["s"] == F.col("top"))
+    return weighed.where(F.size(best) == 1).select("address", best[0]["entry"].alias("entry"))
 
 
 def locations(headers: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -234,7 +236,7 @@ def locations(headers: DataFrame, aliases: DataFrame) -> DataFrame:
     parts = parts.join(spread, "address", "left").withColumn("city", F.coalesce("city", "hit.part_city")).withColumn("loose", F.when(F.col("hit").isNull(), F.col("loose")).otherwise(F.array_remove("loose", F.coalesce("hit.part", F.lit(""))))).drop("hit")
     parts = cut(localities(parts))
     entries = cut(gazetteer(parts).withColumn("entry", F.concat_ws("|", "city", "district", "street")))
-    chosen = resolve(parts, entries)
+    chosen = cut(resolve(parts, entries))
     # Without an entry the ward stands for the locality if it is named: incomplete
     # addresses of one place often name district or city only in turn.
     locality = F.when(F.col("ward").isNotNull(), F.concat(F.lit("ward "), "ward")).otherwise(F.concat_ws("|", F.coalesce("city", F.lit("")), F.coalesce("district", F.lit(""))))
