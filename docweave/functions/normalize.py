@@ -6,7 +6,9 @@ value and a failure code.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.text import collapse, fold
@@ -112,9 +114,12 @@ def name(col: Column) -> Column:
     return _result(F.nullif(collapse(col), F.lit("")), "nfc_whitespace")
 
 
-def normalize(field: Column, value: Column) -> Column:
-    """The struct of the normaliser of ``field``; unknown fields are names."""
-    made = name(value)
-    for known, function in FIELDS.items():
-        made = F.when(field == known, function(value)).otherwise(made)
-    return made
+def normalized(df: DataFrame, field: str, value: str, into: str) -> DataFrame:
+    """``df`` with the struct of each field's normaliser in ``into``; unknown fields are names.
+
+    One branch for each normaliser keeps the generated code small; ``df`` should be cheap to read again.
+    """
+    kinds = list(dict.fromkeys(FIELDS.values()))
+    parts = [df.where(F.col(field).isin([f for f, k in FIELDS.items() if k is kind])).withColumn(into, kind(F.col(value))) for kind in kinds]
+    parts.append(df.where(~F.col(field).isin(list(FIELDS))).withColumn(into, name(F.col(value))))
+    return reduce(DataFrame.unionByName, parts)

@@ -10,6 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def _kinds(df: DataFrame, *columns: str) -> str:
+    """The DDL of columns of ``df``."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def match_rows(edges: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Largest one-to-one matching of ``row_a`` to ``row_b`` in each document.
 
@@ -48,7 +53,7 @@ def match_rows(edges: DataFrame, doc: str = "doc_id") -> DataFrame:
         rows = sorted((a, b) for b, a in owner.items())
         return pd.DataFrame({doc: pdf[doc].iloc[0], "row_a": [a for a, _ in rows], "row_b": [b for _, b in rows]})
 
-    return edges.select(doc, "row_a", "row_b", "shared").groupBy(doc).applyInPandas(run, f"{doc} long, row_a long, row_b long")
+    return edges.select(doc, "row_a", "row_b", "shared").groupBy(doc).applyInPandas(run, f"{_kinds(edges, doc)}, row_a long, row_b long")
 
 
 def anchored_rows(blocks: DataFrame, doc: str = "doc_id", key: str = "ix", least: float = 0.35) -> DataFrame:
@@ -71,7 +76,7 @@ def anchored_rows(blocks: DataFrame, doc: str = "doc_id", key: str = "ix", least
                 rows.append(len(anchors) - 1)
         return pd.DataFrame({doc: pdf[doc], key: pdf[key], "visual_row": rows})
 
-    return blocks.select(doc, key, "top_y", "bottom_y", "left_x").groupBy(doc).applyInPandas(run, f"{doc} long, {key} long, visual_row long")
+    return blocks.select(doc, key, "top_y", "bottom_y", "left_x").groupBy(doc).applyInPandas(run, f"{_kinds(blocks, doc, key)}, visual_row long")
 
 
 def continuation_chain(blocks: DataFrame, doc: str = "doc_id", key: str = "ix", gap: float = 1.1, shift: int = 20) -> DataFrame:
@@ -96,7 +101,7 @@ def continuation_chain(blocks: DataFrame, doc: str = "doc_id", key: str = "ix",
                 heads.append(k)
         return pd.DataFrame({doc: pdf[doc], key: pdf[key], "head": heads})
 
-    return blocks.select(doc, key, "top_y", "bottom_y", "left_x").groupBy(doc).applyInPandas(run, f"{doc} long, {key} long, head long")
+    return blocks.select(doc, key, "top_y", "bottom_y", "left_x").groupBy(doc).applyInPandas(run, f"{_kinds(blocks, doc)}, {key} long, head long")
 
 
 def compare_and_set(events: DataFrame, key: str, order: str, expected: str) -> DataFrame:
@@ -111,4 +116,4 @@ def compare_and_set(events: DataFrame, key: str, order: str, expected: str) -> D
             versions.append(version)
         return pd.DataFrame({key: pdf[key], order: pdf[order], "accepted": accepted, "version": versions})
 
-    return events.select(key, order, expected).groupBy(key).applyInPandas(run, f"{key} long, {order} long, accepted boolean, version long")
+    return events.select(key, order, expected).groupBy(key).applyInPandas(run, f"{_kinds(events, key, order)}, accepted boolean, version long")
