@@ -38,9 +38,10 @@ VARIABLES = [
     rf"(?<![\w~])~{_NAME}~(?![\w~])",  # ~x~
     r"\((?iu:điền|dien|nhập|nhap|fill in|enter|insert) [^()\n]{1,40}\)",  # (fill in x)
 ]
-VARIABLE = "|".join(VARIABLES)
+# Every grammar starts with one of these signs, so other positions are passed over at once.
+VARIABLE = rf"(?=[{{<\[«@_%$#~(])(?:{'|'.join(VARIABLES)})"
 # What a program prints for a value it does not have.
-EMPTY = r"(?<![\w\"'.])(?:(?i:undefined)|(?i:\[object object\])|NaN|null|NULL|nil|None(?! of))(?![\w\"'(])"
+EMPTY = r"(?=[uUnN\[])(?<![\w\"'.])(?:(?i:undefined)|(?i:\[object object\])|NaN|null|NULL|nil|None(?! of))(?![\w\"'(])"
 # Fixed values, folded: marks of a sentence that explains, logs or gives an example.
 EXPLAINS = (
     r"\bbien\b.{0,40}(?:thay|ngoac)|\bky hieu \S+ cho moi|\bvi du\b|\bo cho can\b|\bcu phap\b|\bplaceholder\b.{0,40}\b(?:is|are|will be) |\bis replaced\b|\bnever type\b"
@@ -54,9 +55,9 @@ LATIN = (
 )
 # Fixed values, folded: filler phrases.
 FILLER = (
-    r"\b(?:text|heading|title|content|paragraph|description|copy) goes here\b|\bplaceholder (?:copy|text|content)\b|\bdummy (?:content|text|copy)\b|\binsert .{1,40} here\b|^to be completed\b"
-    r"|^todo\b|\bsample (?:paragraph|text)\b|\breplace before publishing\b|\basdf\b|\bqwerty\b|\babc abc\b|\btest test\b|\bnoi dung mau\b|\bgiu cho\b|^(?:nhap|chen|dien) .{1,40} (?:tai|vao|o) day\b"
-    r"|\bdoan chu nay\b|\bdat o day\b|\bviet o cho nay\b|\bvan ban thu\b|\bkhong co y nghia\b|^tbd\b"
+    r"\b(?:(?:text|heading|title|content|paragraph|description|copy) goes here\b|placeholder (?:copy|text|content)\b|dummy (?:content|text|copy)\b|insert .{1,40} here\b|^to be completed\b"
+    r"|^todo\b|sample (?:paragraph|text)\b|replace before publishing\b|asdf\b|qwerty\b|abc abc\b|test test\b|noi dung mau\b|giu cho\b|^(?:nhap|chen|dien) .{1,40} (?:tai|vao|o) day\b"
+    r"|doan chu nay\b|dat o day\b|viet o cho nay\b|van ban thu\b|khong co y nghia\b|^tbd\b)"
 )
 # Fixed values, folded: how a sentence of an error page, access or waiting notice, or script notice starts.
 NOTICE = (
@@ -71,8 +72,8 @@ NOTICE = (
 # Fixed values, folded: page furniture that is neither content nor notice.
 FURNITURE = r"\s\|\s|^(?:tai lieu|document|tep|file) \W?\d+$|^(?:gioi thieu|dieu khoan|trang chu|lien he|huong dan|about us|terms|user guide|home|help|contact|privacy)$"
 SENTENCE = r"\n+|(?<=[.!?])\s+"
-#: Filler sentences and their share of the text from which it counts as filler.
-FILLER_SHARE, FILLER_LEAST = 0.1, 1
+#: Share of filler in the text from which it counts as filler.
+FILLER_SHARE = 0.1
 #: Share of notices in what is not page furniture from which they stand in place of content.
 NOTICE_SHARE = 0.5
 
@@ -81,14 +82,17 @@ def _sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, SENTENCE), F.trim), lambda s: s != "")
 
 
-def _length(sentences: Column) -> Column:
-    return F.aggregate(sentences, F.lit(0), lambda n, s: n + F.length(s))
+def _latin(sentence: Column) -> Column:
+    """Whether a sentence starts like filler Latin and seven tenths of its words are."""
+    names = LATIN.replace(" ", "|")
+    known, words = F.regexp_count(sentence, F.lit(rf"\b(?:{names})\b")), F.regexp_count(sentence, F.lit(r"[a-z]+"))
+    return (F.rlike(sentence, F.lit(rf"^\W*(?:{names})\b")) | F.contains(sentence, F.lit("lorem ipsum"))) & (known >= 4) & (known >= 0.7 * words)
 
 
-def _latin(sentence: Column) -> Column:
-    words = F.regexp_count(sentence, F.lit(r"[a-z]+"))
-    known = F.regexp_count(sentence, F.lit(rf"\b(?:{LATIN.replace(' ', '|')})\b"))
-    return (known >= 4) & (known >= 0.7 * words)
+def _share(kind: str, of: Column) -> Column:
+    """Characters of the sentences of a kind over ``of``."""
+    part = F.aggregate("classes__", F.lit(0), lambda n, c: n + F.when(c["kind"] == kind, c["size"]).otherwise(0))
+    return F.coalesce(F.try_divide(part.cast("double"), of), F.lit(0.0))
 
 
 def judge(documents: DataFrame) -> DataFrame:
@@ -96,22 +100,22 @@ def judge(documents: DataFrame) -> DataFrame:
 
     ``residue`` is ``template``, ``filler``, ``notice`` or null.
     """
-    prose = F.regexp_replace("text", r"(?s)```.*?(?:```|$)", "")
-    folded = strip_accents(F.lower(prose))
+    prose = F.when(F.contains("text", F.lit("```")), F.regexp_replace("text", r"(?s)```.*?(?:```|$)", "")).otherwise(F.col("text"))
     may_hold = F.rlike(prose, F.lit(VARIABLE)) | F.rlike(prose, F.lit(EMPTY))
     explains = lambda s: F.rlike(strip_accents(F.lower(s)), F.lit(EXPLAINS))
     unfilled = F.filter(_sentences(prose), lambda s: (F.rlike(s, F.lit(VARIABLE)) | F.rlike(s, F.lit(EMPTY))) & ~explains(s))
     variables = F.when(may_hold, F.size(unfilled)).otherwise(0)
-    rows = documents.withColumn("sentences__", _sentences(folded)).withColumn("variables", F.coalesce(variables, F.lit(0)))
-    whole = _length(F.col("sentences__"))
-    filler = F.filter("sentences__", lambda s: (F.rlike(s, F.lit(FILLER)) | _latin(s)) & ~F.rlike(s, F.lit(EXPLAINS)))
-    notices = F.filter("sentences__", lambda s: F.rlike(s, F.lit(NOTICE)))
-    furniture = F.filter("sentences__", lambda s: F.rlike(s, F.lit(FURNITURE)) & ~F.rlike(s, F.lit(NOTICE)))
-    share = lambda part, of: F.coalesce(F.try_divide(_length(part).cast("double"), of), F.lit(0.0))
-    rows = rows.withColumn("filler_share", F.when(F.size(filler) >= FILLER_LEAST, share(filler, whole)).otherwise(0.0))
-    rows = rows.withColumn("notice_share", share(notices, whole - _length(furniture))).drop("sentences__")
-    kind = F.when(F.col("variables") > 0, "template").when(F.col("filler_share") >= FILLER_SHARE, "filler").when(F.col("notice_share") >= NOTICE_SHARE, "notice")
-    return rows.withColumn("residue", kind)
+    # Each sentence is classed once; everything after works on sizes and classes.
+    kind = lambda s: (
+        F.when(F.rlike(s, F.lit(NOTICE)), "notice").when((F.rlike(s, F.lit(FILLER)) | _latin(s)) & ~F.rlike(s, F.lit(EXPLAINS)), "filler").when(F.rlike(s, F.lit(FURNITURE)), "furniture").otherwise("")
+    )
+    classes = F.transform(_sentences(strip_accents(F.lower(prose))), lambda s: F.struct(F.length(s).alias("size"), kind(s).alias("kind")))
+    rows = documents.withColumn("classes__", F.explode_outer(F.array(classes))).withColumn("variables", F.coalesce(variables, F.lit(0)))
+    whole = F.aggregate("classes__", F.lit(0), lambda n, c: n + c["size"])
+    furniture = F.aggregate("classes__", F.lit(0), lambda n, c: n + F.when(c["kind"] == "furniture", c["size"]).otherwise(0))
+    rows = rows.withColumn("filler_share", _share("filler", whole)).withColumn("notice_share", _share("notice", whole - furniture)).drop("classes__")
+    residue = F.when(F.col("variables") > 0, "template").when(F.col("filler_share") >= FILLER_SHARE, "filler").when(F.col("notice_share") >= NOTICE_SHARE, "notice")
+    return rows.withColumn("residue", residue)
 
 
 def found(documents: DataFrame) -> DataFrame:
