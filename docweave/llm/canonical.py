@@ -119,7 +119,8 @@ def patterns() -> tuple[str, str, str]:
     rows = mapping_rows()
     dirty = {r[0] for r in rows if unicodedata.combining(r[0]) or unicodedata.normalize("NFC", "".join(r[1])) != r[0]} - {" "}
     common = _char_class([c for c in map(chr, [0x0A, 0x0D, *range(0x20, 0x250), *range(0x1E00, 0x1F00)]) if c not in dirty])
-    follow = r"[\p{M}\p{Cf}\x{115F}\x{1160}\x{3164}\x{FFA0}]"
+    joining = _char_class([r[0] for r in rows if (r[2] and r[2][0] or not r[1]) and unicodedata.category(r[0]) not in ("Mn", "Mc", "Me", "Cf")])
+    follow = rf"[\p{{M}}\p{{Cf}}{joining}]"
     return f"[^{common}]", f"[{_char_class(sorted(dirty))}]", rf"[{common}]+(?!{follow})|(?s:.){follow}*"
 
 
@@ -171,7 +172,7 @@ def consistent(rows: DataFrame, text: str) -> DataFrame:
     kept = pieces.where("not odd").select("h", "at", F.col("piece").alias("plain"))
     rebuilt = kept.union(changed).groupBy("h").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "plain"))), lambda x: x["plain"]), "").alias("plain"))
     same = rows.where(~may_change).withColumn("plain", F.col(text))
-    return rows.where(may_change).withColumn("h", F.md5(text)).join(rebuilt, "h").select(*rows.columns, "plain").unionByName(same)
+    return rows.where(may_change).withColumn("hash__", F.md5(text)).join(rebuilt.withColumnRenamed("h", "hash__"), "hash__").select(*rows.columns, "plain").unionByName(same)
 
 
 def alike(rows: DataFrame, key: str, text: str) -> DataFrame:
