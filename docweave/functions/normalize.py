@@ -6,6 +6,7 @@ value and a failure code.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,9 +17,14 @@ from docweave.functions.text import collapse, fold
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _result(value: Column, rule: str | Column, failure: str = "NORMALIZATION_FAILED") -> Column:
     rule = F.lit(rule) if isinstance(rule, str) else rule
-    return F.struct(value.alias("value"), F.when(value.isNotNull(), rule).alias("rule"), F.when(value.isNull(), F.lit(failure)).alias("failure"))
+    return once(value, lambda v: F.struct(v.alias("value"), F.when(v.isNotNull(), rule).alias("rule"), F.when(v.isNull(), F.lit(failure)).alias("failure")))
 
 
 def _full(col: Column, pattern: str) -> Column:
@@ -44,24 +50,26 @@ def amount_usd(col: Column) -> Column:
 
 def date(col: Column) -> Column:
     """ISO date from year-first, unambiguous day-first or month-first, and worded dates; two-digit years are refused."""
-    text = collapse(col)
-    plain = fold(col)
-    pick = lambda source, pattern, i: F.regexp_extract(source, pattern, i)
     iso, dmy = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$"
     words, english = r"^ngay (\d{1,2}) thang (\d{1,2}) nam (\d{4})$", r"^(\d{1,2})(?:st|nd|rd|th)? ([a-z]+)\.? (\d{4})$"
-    name = pick(plain, english, 2)
-    month = F.coalesce(*[F.when((name == m) | (name == m[:3]), F.lit(f"{i:02d}")) for i, m in enumerate(MONTHS, 1)])
     join = lambda y, m, d: F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
-    first, second = pick(text, dmy, 1), pick(text, dmy, 2)
-    a, b = F.expr("1") * F.nullif(first, F.lit("")).cast("int"), F.expr("1") * F.nullif(second, F.lit("")).cast("int")
-    numeric = F.when((a > 12) | (a == b), join(pick(text, dmy, 3), second, first)).when(b > 12, join(pick(text, dmy, 3), first, second))
-    made = (
-        F.when(F.rlike(text, F.lit(iso)), join(pick(text, iso, 1), pick(text, iso, 2), pick(text, iso, 3)))
-        .when(F.rlike(text, F.lit(dmy)), numeric)
-        .when(F.rlike(plain, F.lit(words)), join(pick(plain, words, 3), pick(plain, words, 2), pick(plain, words, 1)))
-        .when(F.rlike(plain, F.lit(english)) & month.isNotNull(), join(pick(plain, english, 3), month, pick(plain, english, 1)))
-    )
-    return _result(F.when(F.try_to_date(made, "yyyy-MM-dd").isNotNull(), made), "calendar_date", "AMBIGUOUS_FORMAT")
+
+    def numeric(text: Column) -> Column:
+        parts = [F.regexp_extract(text, dmy, i) for i in (1, 2, 3)]
+        return once(F.array(*parts), lambda p: F.when((p[0].cast("int") > 12) | (p[0].cast("int") == p[1].cast("int")), join(p[2], p[1], p[0])).when(p[1].cast("int") > 12, join(p[2], p[0], p[1])))
+
+    def worded(plain: Column) -> Column:
+        name = F.regexp_extract(plain, english, 2)
+        month = once(name, lambda n: F.coalesce(*[F.when(n.isin(m, m[:3]), F.lit(f"{i:02d}")) for i, m in enumerate(MONTHS, 1)]))
+        return once(month, lambda m: F.when(m.isNotNull(), join(F.regexp_extract(plain, english, 3), m, F.regexp_extract(plain, english, 1))))
+
+    def made(both: Column) -> Column:
+        text, plain = both["text"], both["plain"]
+        pick = lambda source, pattern, *order: join(*[F.regexp_extract(source, pattern, i) for i in order])
+        return F.when(F.rlike(text, F.lit(iso)), pick(text, iso, 1, 2, 3)).when(F.rlike(text, F.lit(dmy)), numeric(text)).when(F.rlike(plain, F.lit(words)), pick(plain, words, 3, 2, 1)).when(F.rlike(plain, F.lit(english)), worded(plain))
+
+    read = once(F.struct(collapse(col).alias("text"), fold(col).alias("plain")), made)
+    return _result(once(read, lambda d: F.when(F.try_to_date(d, "yyyy-MM-dd").isNotNull(), d)), "calendar_date", "AMBIGUOUS_FORMAT")
 
 
 def tax_id(col: Column) -> Column:
