@@ -26,6 +26,7 @@ def match_rows(edges: DataFrame, doc: str = "doc_id") -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wishes = {a: list(g.sort_values(["shared", "row_b"], ascending=[False, True])["row_b"]) for a, g in pdf.groupby("row_a")}
         owner: dict[int, int] = {}
+        held: dict[int, int] = {}
         for a in sorted(wishes):
             # Iterative search for a free partner; came[b] is the row that asked for b.
             came: dict[int, int] = {}
@@ -45,11 +46,9 @@ def match_rows(edges: DataFrame, doc: str = "doc_id") -> DataFrame:
                     stack.pop()
             while end is not None:
                 row = came[end]
-                freed = next((b for b, o in owner.items() if o == row), None)
-                owner[end] = row
-                end = freed if row != a else None
-                if end is not None and owner.get(end) == row:
-                    del owner[end]
+                freed = held.get(row)
+                owner[end], held[row] = row, end
+                end = freed
         rows = sorted((a, b) for b, a in owner.items())
         return pd.DataFrame({doc: pdf[doc].iloc[0], "row_a": [a for a, _ in rows], "row_b": [b for _, b in rows]})
 

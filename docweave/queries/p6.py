@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.operators import shred
+from docweave.session import spread
 from docweave.sources.tables import table
 
 #: Names of the parts of a result payload that hold lines and tax groups.
@@ -13,7 +14,7 @@ SECTIONS = {"line_items": "line", "tax_breakdown": "tax", "fields": "header"}
 
 
 def _runs(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    return table(spark, folder, "machine_runs").where(F.col("kind") == kind).select("run_id", "payload")
+    return spread(table(spark, folder, "machine_runs").where(F.col("kind") == kind).select("run_id", "payload"))
 
 
 def _section() -> F.Column:
