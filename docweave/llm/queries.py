@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm import addresses, canonical, mixing, overlap, packing, quotas, residue, splits
 from docweave.llm.sql import SQL
-from docweave.session import cut
+from docweave.session import cut, spread
 from docweave.sources.tables import table
 
 
@@ -72,8 +72,12 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.report(p5_found(spark, folder), table(spark, folder, "test_manifest"), table(spark, folder, "kie_split"))
 
 
+def _texts_of(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text", *more))
+
+
 def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"), table(spark, folder, "pack_plans"))
+    return packing.pack(_texts_of(spark, folder), table(spark, folder, "pack_plans"))
 
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,7 +89,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    sized = cut(mixing.sizes(table(spark, folder, "documents")))
+    sized = cut(mixing.sizes(_texts_of(spark, folder, "source")))
     rated = mixing.rates(sized, table(spark, folder, "mix_targets"))
     return mixing.mix(sized, rated), rated
 
@@ -103,11 +107,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_judged(spark: SparkSession, folder: str) -> DataFrame:
-    return residue.judge(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    return residue.judge(_texts_of(spark, folder)).drop("text")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return residue.found(table(spark, folder, "documents"))
+    return residue.found(_texts_of(spark, folder))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
