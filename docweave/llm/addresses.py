@@ -160,8 +160,8 @@ def localities(parts: DataFrame) -> DataFrame:
     return filled.withColumn("loose", F.when(F.col("hit").isNull(), F.col("loose")).otherwise(F.array_remove("loose", F.coalesce("hit.part", F.lit(""))))).drop("hit")
 
 
-def gazetteer(parts: DataFrame) -> DataFrame:
-    """``city``, ``district``, ``street``, ``n``, ``wards``, ``houses`` from addresses that name all three.
+def gazetteer(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``entry``, ``city``, ``district``, ``street``, ``n``, ``wards`` from addresses that name all three, and the ``entry``, ``house`` pairs.
 
     ``parts`` has one row for each distinct address, with ``n`` receipts, the city in its
     listed form and the district in its most frequent spelling.
@@ -170,7 +170,9 @@ def gazetteer(parts: DataFrame) -> DataFrame:
     streets = placed.groupBy("city", "district", "street").agg(F.sum("n").alias("n"))
     street = _cluster(streets, ["city", "district"], "street")
     named = placed.join(street, ["city", "district", "street"]).withColumn("street", F.col("canonical"))
-    return named.groupBy("city", "district", "street").agg(F.sum("n").alias("n"), F.collect_set("ward").alias("wards"), F.collect_set("house").alias("houses"))
+    named = named.withColumn("entry", F.concat_ws("|", "city", "district", "street"))
+    entries = named.groupBy("entry", "city", "district", "street").agg(F.sum("n").alias("n"), F.collect_set("ward").alias("wards"))
+    return entries, named.select("entry", "house").distinct()
 
 
 def _best(df: DataFrame, score: str, keep: int) -> DataFrame:
@@ -182,7 +184,7 @@ def _any_near(names: Column, name: Column) -> Column:
     return F.exists(names, lambda x: near(x, name))
 
 
-def resolve(parts: DataFrame, entries: DataFrame) -> DataFrame:
+def resolve(parts: DataFrame, entries: DataFrame, houses: DataFrame) -> DataFrame:
     """``address``, ``entry``: the gazetteer entry of each address, by beam search.
 
     Step 1 proposes entries whose street is the address's street or one edit away.
@@ -192,7 +194,7 @@ def resolve(parts: DataFrame, entries: DataFrame) -> DataFrame:
     two best hypotheses weigh the same has no entry.
     """
     asked = parts.select("address", "house", "street", "ward", "district", "city", "loose", F.explode(_keys(F.col("street"))).alias("k"))
-    known = entries.select("entry", "n", F.col("street").alias("e_street"), F.col("district").alias("e_district"), F.col("city").alias("e_city"), "wards", "houses", F.explode(_keys(F.col("street"))).alias("k"))
+    known = entries.select("entry", "n", F.col("street").alias("e_street"), F.col("district").alias("e_district"), F.col("city").alias("e_city"), "wards", F.explode(_keys(F.col("street"))).alias("k"))
     # Addresses that name their city meet that city's streets only, the others those of the district they name.
     in_city = asked.where("city is not null").join(known, (asked["k"] == known["k"]) & (asked["city"] == known["e_city"]))
     in_district = asked.where("city is null and district is not null").join(known, (asked["k"] == known["k"]) & (asked["district"] == known["e_district"]))
@@ -206,8 +208,8 @@ def resolve(parts: DataFrame, entries: DataFrame) -> DataFrame:
     two = _best(one.withColumn("s", F.col("s") + same_district), "s", BEAM).where(F.col("s") >= 2)
     written = F.array_compact(F.concat(F.array("ward"), F.col("loose")))
     same_ward = F.when(F.exists("wards", lambda w: F.exists(written, lambda x: near(x, w))), 1.0).when(F.col("ward").isNotNull() & (F.size("wards") > 0), -0.5).otherwise(0.0)
-    house = F.when(F.array_contains("houses", F.col("house")), 0.25).otherwise(0.0)
-    three = two.withColumn("s", F.col("s") + same_ward + house)
+    known_house = two.join(houses.withColumn("known", F.lit(0.25)), ["entry", "house"], "left")
+    three = known_house.withColumn("s", F.col("s") + same_ward + F.coalesce("known", F.lit(0.0)))
     # At most BEAM hypotheses an address are left here.
     weighed = three.groupBy("address").agg(F.max("s").alias("top"), F.collect_list(F.struct("s", "entry")).alias("hypotheses"))
     best = F.filter("hypotheses", lambda h: h["s"] == F.col("top"))
@@ -235,8 +237,8 @@ def locations(headers: DataFrame, aliases: DataFrame) -> DataFrame:
     spread = parts.where("city is null").select("address", F.explode("loose").alias("part")).join(cities, "part").groupBy("address").agg(F.min(F.struct("part", "part_city")).alias("hit"))
     parts = parts.join(spread, "address", "left").withColumn("city", F.coalesce("city", "hit.part_city")).withColumn("loose", F.when(F.col("hit").isNull(), F.col("loose")).otherwise(F.array_remove("loose", F.coalesce("hit.part", F.lit(""))))).drop("hit")
     parts = cut(localities(parts))
-    entries = cut(gazetteer(parts).withColumn("entry", F.concat_ws("|", "city", "district", "street")))
-    chosen = cut(resolve(parts, entries))
+    entries, houses = map(cut, gazetteer(parts))
+    chosen = cut(resolve(parts, entries, houses))
     # Without an entry the ward stands for the locality if it is named: incomplete
     # addresses of one place often name district or city only in turn.
     locality = F.when(F.col("ward").isNotNull(), F.concat(F.lit("ward "), "ward")).otherwise(F.concat_ws("|", F.coalesce("city", F.lit("")), F.coalesce("district", F.lit(""))))

@@ -55,14 +55,13 @@ def seller_key(col: Column) -> Column:
 
 
 def records(split_table: DataFrame) -> DataFrame:
-    """``test_id``, ``label``, ``current`` split and the ``keys`` of each record, one row a record."""
+    """``test_id``, ``label``, ``current`` split and ``keys`` of each delivery of a record."""
     keys = F.array_compact(F.array(
         F.concat(F.lit("c:"), person_key(F.col("contributor_id"))),
         F.concat(F.lit("s:"), seller_key(F.col("seller_tax_id"))),
         F.concat(F.lit("d:"), person_key(F.col("base_document_id"))),
     ))
-    rows = split_table.where("test_id is not null").select("test_id", label_key(F.col("selection_stratum")).alias("label"), label_key(F.col("kie_split")).alias("current"), keys.alias("keys"))
-    return rows.groupBy("test_id").agg(F.min("label").alias("label"), F.min("current").alias("current"), F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys"))
+    return split_table.where("test_id is not null").select("test_id", label_key(F.col("selection_stratum")).alias("label"), label_key(F.col("kie_split")).alias("current"), keys.alias("keys"))
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -99,12 +98,16 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``group_test_id``, the smallest ``test_id`` linked directly or through others."""
-    held = rows.select("test_id", F.explode("keys").alias("key"))
+    """One row a record with ``group_test_id``, the smallest ``test_id`` linked directly or through others.
+
+    The keys of all deliveries of a record link it.
+    """
+    held = rows.select("test_id", F.explode("keys").alias("key")).distinct()
     hubs = held.groupBy("key").agg(F.min("test_id").alias("hub"))
     links = held.join(hubs, "key").select(F.col("test_id").alias("a"), F.col("hub").alias("b"))
     roots = components(links).withColumnRenamed("node", "test_id")
-    return rows.join(roots, "test_id", "left").withColumn("group_test_id", F.coalesce("root", "test_id")).drop("root")
+    once = rows.groupBy("test_id").agg(F.min("label").alias("label"), F.min("current").alias("current"))
+    return once.join(roots, "test_id", "left").withColumn("group_test_id", F.coalesce("root", "test_id")).drop("root")
 
 
 def _search(sizes: np.ndarray, labels: np.ndarray, start: np.ndarray, goal: np.ndarray, goal_labels: np.ndarray, seed: int) -> np.ndarray:
