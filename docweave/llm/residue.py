@@ -79,7 +79,7 @@ NOTICE_SHARE = 0.5
 
 
 def _sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, SENTENCE), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def _latin(sentence: Column) -> Column:
