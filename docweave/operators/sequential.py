@@ -24,7 +24,9 @@ def match_rows(edges: DataFrame, doc: str = "doc_id") -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wishes = {a: list(g.sort_values(["shared", "row_b"], ascending=[False, True])["row_b"]) for a, g in pdf.groupby("row_a")}
+        wishes: dict[int, list[int]] = {}
+        for _, b, a in sorted(zip(-pdf["shared"].to_numpy(), pdf["row_b"].to_numpy(), pdf["row_a"].to_numpy(), strict=True)):
+            wishes.setdefault(int(a), []).append(int(b))
         owner: dict[int, int] = {}
         held: dict[int, int] = {}
         for a in sorted(wishes):
