@@ -4,9 +4,9 @@ Method: a self-built gazetteer.  Every address is read into parts; addresses tha
 street, district and city become gazetteer entries; spellings of districts within a city
 and of streets within a district are clustered (a spelling joins the most frequent one
 within one edit); every address is then resolved by a beam search over the entries -
-street hypotheses first, then locality evidence, then ward and known house numbers, with
-the best hypotheses kept at each step - and receipts are joined on street identifier,
-house number and lane.
+street, locality and ward evidence first, then known house numbers for the hypotheses
+that these can still bring to the top, however many - and receipts are joined on street
+identifier, house number and lane.
 
 Equal addresses are resolved once, so a third of all receipts sharing one address costs
 one resolution.  Spelling candidates meet through shared deletion keys, never through all
@@ -41,8 +41,8 @@ STREET = r"^(?:duong\b|pho\b|dg\b\.?|d\.|str\b\.?|street\b|d(?=\s))\s*"
 HOUSE = r"^(?:so nha|so|no\b\.?|sn|#)?\s*(\d+)(?:\s*-?\s*([a-z])(?![a-z.]))?(?:\s*/\s*(\d+)(?:\s*-?\s*([a-z])(?![a-z.]))?)?"
 LANE = r"^(?:ngo|hem|ngach|kiet)\s+(\d+[a-z]?)\b"
 
-#: Hypotheses kept for each address after each step of the beam search.
-BEAM = 8
+#: What a house number known at the street adds: the last evidence weighed.  The beam is as wide, so it drops no hypothesis that could still win or tie.
+KNOWN = 0.25
 PARTS = "address string, house string, street string, ward string, district string, city string, loose array<string>"
 
 
@@ -175,11 +175,6 @@ def gazetteer(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entries, named.select("entry", "house").distinct()
 
 
-def _best(df: DataFrame, score: str, keep: int) -> DataFrame:
-    order = Window.partitionBy("address").orderBy(F.desc(score), F.desc("n"), "entry")
-    return df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).drop("place")
-
-
 def _any_near(names: Column, name: Column) -> Column:
     return F.exists(names, lambda x: near(x, name))
 
@@ -189,9 +184,9 @@ def resolve(parts: DataFrame, entries: DataFrame, houses: DataFrame) -> DataFram
 
     Step 1 proposes entries whose street is the address's street or one edit away.
     Step 2 weighs district and city: named and agreeing, named and another, or found among
-    parts of unknown kind.  Step 3 adds the ward and whether the house number is known at
-    the street.  ``BEAM`` hypotheses survive each of the first two steps; an address whose
-    two best hypotheses weigh the same has no entry.
+    parts of unknown kind; and the ward.  Step 3 adds whether the house number is known at
+    the street, for all hypotheses within ``KNOWN`` of the best; an address whose two best
+    hypotheses weigh the same has no entry.
     """
     asked = parts.select("address", "house", "street", "ward", "district", "city", "loose", F.explode(_keys(F.col("street"))).alias("k"))
     known = entries.select("entry", "n", F.col("street").alias("e_street"), F.col("district").alias("e_district"), F.col("city").alias("e_city"), "wards", F.explode(_keys(F.col("street"))).alias("k"))
@@ -204,16 +199,18 @@ def resolve(parts: DataFrame, entries: DataFrame, houses: DataFrame) -> DataFram
     # A clear conflict of a named district or city rules a hypothesis out at once.
     same_city = F.when(F.col("city").isNull(), F.when(_any_near(F.col("loose"), F.col("e_city")), 2.0).otherwise(0.0)).when(near(F.col("city"), F.col("e_city")), 2.0).otherwise(-5.0)
     same_district = F.when(F.col("district").isNull(), F.when(_any_near(F.col("loose"), F.col("e_district")), 2.0).otherwise(0.0)).when(F.col("district") == F.col("e_district"), 2.0).when(near(F.col("district"), F.col("e_district")), 1.5).otherwise(-5.0)
-    one = _best(met.withColumn("s", exact + same_city), "s", BEAM)
-    two = _best(one.withColumn("s", F.col("s") + same_district), "s", BEAM).where(F.col("s") >= 2)
+    placed = met.withColumn("s", exact + same_city + same_district).where(F.col("s") >= 2)
     written = F.array_compact(F.concat(F.array("ward"), F.col("loose")))
     same_ward = F.when(F.exists("wards", lambda w: F.exists(written, lambda x: near(x, w))), 1.0).when(F.col("ward").isNotNull() & (F.size("wards") > 0), -0.5).otherwise(0.0)
-    known_house = two.join(houses.withColumn("known", F.lit(0.25)), ["entry", "house"], "left")
-    three = known_house.withColumn("s", F.col("s") + same_ward + F.coalesce("known", F.lit(0.0)))
-    # At most BEAM hypotheses an address are left here.
-    weighed = three.groupBy("address").agg(F.max("s").alias("top"), F.collect_list(F.struct("s", "entry")).alias("hypotheses"))
-    best = F.filter("hypotheses", lambda h: h["s"] == F.col("top"))
-    return weighed.where(F.size(best) == 1).select("address", best[0]["entry"].alias("entry"))
+    two = placed.select("address", "house", "entry", (F.col("s") + same_ward).alias("s"))
+    top = F.max("s").over(Window.partitionBy("address"))
+    beam = two.withColumn("top", top).where(F.col("s") >= F.col("top") - KNOWN)
+    known_house = beam.join(houses.withColumn("known", F.lit(KNOWN)), ["entry", "house"], "left")
+    three = known_house.withColumn("s", F.col("s") + F.coalesce("known", F.lit(0.0)))
+    # Hypotheses of one weight are counted, not collected: a street name may stand in any number of localities.
+    weighed = three.groupBy("address", "s").agg(F.count("*").alias("tied"), F.min("entry").alias("entry"))
+    best = weighed.groupBy("address").agg(F.max(F.struct("s", "tied", "entry")).alias("best"))
+    return best.where("best.tied = 1").select("address", F.col("best.entry").alias("entry"))
 
 
 def locations(headers: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -34,6 +34,20 @@ def test_locations(spark):
     assert found == {(f"r{a:02d}", f"r{b:02d}") for a in range(n) for b in range(a + 1, n)} | {(f"r{a:02d}", f"r{b:02d}") for a in range(n, m) for b in range(a + 1, m)}
 
 
+def test_locality_beyond_eight_of_a_street(spark):
+    """The street stands in twelve localities; the ward, or the district without a label, names the least frequent one."""
+    entries = [(f"c{i:02d}|d{i:02d}|lactra", f"c{i:02d}", f"district{chr(97 + i) * 3}", "lactra", 50 - i, [f"ward{chr(97 + i) * 3}"]) for i in range(12)]
+    entries += [("c12|d12|lactrb", "c12", "districtzzz", "lactrb", 1, ["wardzzz"])]
+    asked = [
+        ("by ward", "1", "lactra", "wardlll", None, None, []), ("by loose ward", "1", "lactra", None, None, None, ["wardlll"]), ("by district", "1", "lactra", None, None, None, ["districtlll"]), ("by both, street one edit away", "1", "lactra", "wardzzz", None, None, ["districtzzz"]),
+        ("by house", "7", "lactra", None, None, None, []), ("none", "1", "lactra", None, None, None, []),
+    ]
+    parts = spark.createDataFrame(asked, addresses.PARTS)
+    found = addresses.resolve(parts, spark.createDataFrame(entries, "entry string, city string, district string, street string, n long, wards array<string>"), spark.createDataFrame([("c11|d11|lactra", "7")], "entry string, house string"))
+    last = "c11|d11|lactra"
+    assert rows(found) == {("by ward", last), ("by loose ward", last), ("by district", last), ("by both, street one edit away", "c12|d12|lactrb"), ("by house", last)}
+
+
 def test_no_addresses(spark):
     assert addresses.same_location(located(spark, [])).count() == 0
 
