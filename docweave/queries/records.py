@@ -78,7 +78,7 @@ def search_filter(spark: SparkSession, folder: str) -> DataFrame:
 def sort_null_total(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "invoice_headers").select("receipt_id", "total_amount", "updated_at")
     last = store.latest(rows.withColumn("t", F.coalesce("total_amount", F.lit(-1))), ["receipt_id"], "updated_at", "t")
-    return last.orderBy(F.desc("t"), "receipt_id").limit(200).select("receipt_id", F.col("t").alias("total"))
+    return last.orderBy(F.desc("t"), "receipt_id").select("receipt_id", F.col("t").alias("total"))
 
 
 def audit_history(spark: SparkSession, folder: str) -> DataFrame:
