@@ -19,3 +19,10 @@ def test_every_receipt_is_sorted(spark, tmp_path):
     folder = made(spark, tmp_path, "invoice_headers", data, "receipt_id string, total_amount long, updated_at timestamp")
     expected = sorted(((r, -1 if t is None else t) for r, t, _ in data), key=lambda x: (-x[1], x[0]))
     assert [tuple(r) for r in core.queries()["sort_null_total"](spark, folder).collect()] == expected
+
+
+def test_whole_history_oldest_first(spark, tmp_path):
+    data = [(i, AT + datetime.timedelta(seconds=i * 7 % 10), i % 2, "view", 1.0) for i in range(40)]
+    folder = made(spark, tmp_path, "events", data, "event_id long, ts timestamp, user_id long, event_type string, value double")
+    expected = [(u, i) for u, _, i in sorted((u, t, i) for i, t, u, *_ in data)]
+    assert [(r["user_id"], r["event_id"]) for r in core.queries()["audit_history"](spark, folder).collect()] == expected
