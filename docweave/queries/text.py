@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docweave.functions import ids, normalize, text
 from docweave.operators import text_metrics
 from docweave.queries.fixtures import BLOCKS_SQL, blocks
+from docweave.session import spread
 from docweave.sources.tables import table
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -114,8 +115,8 @@ def uuid5_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _readings(spark: SparkSession, folder: str) -> DataFrame:
-    """English notes and a reading of them with arithmetic edits."""
-    rows = table(spark, folder, "documents").where("lang = 'en' and n_chars <= 400").select("doc_id", F.coalesce("source", F.lit("none")).alias("condition"), F.regexp_replace("text", r"[^\x20-\x7E]", "").alias("ref"))
+    """English notes of any length and a reading of them with arithmetic edits; other languages would lose most letters to the ASCII form."""
+    rows = spread(table(spark, folder, "documents").where("lang = 'en'")).select("doc_id", F.coalesce("source", F.lit("none")).alias("condition"), F.regexp_replace("text", r"[^\x20-\x7E]", "").alias("ref"))
     return rows.withColumn("hyp", F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("ref", "e", "c")).when(F.col("doc_id") % 3 == 1, F.expr("substring(ref, 4)")).otherwise(F.col("ref")))
 
 

@@ -26,3 +26,25 @@ def test_whole_history_oldest_first(spark, tmp_path):
     folder = made(spark, tmp_path, "events", data, "event_id long, ts timestamp, user_id long, event_type string, value double")
     expected = [(u, i) for u, _, i in sorted((u, t, i) for i, t, u, *_ in data)]
     assert [(r["user_id"], r["event_id"]) for r in core.queries()["audit_history"](spark, folder).collect()] == expected
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_error_rates_over_whole_texts(spark, tmp_path):
+    texts = ["even the deepest well " * 30, "one two three " * 50, "short note here", "eee " * 120, "a b c " * 90, "same text " * 60]
+    data = [(i, t, "en", len(t), "s") for i, t in enumerate(texts)] + [(9, "hóa đơn", "vi", 7, "s")]
+    folder = made(spark, tmp_path, "documents", data, "doc_id long, text string, lang string, n_chars long, source string")
+    read = [(t, t.replace("e", "c") if i % 3 == 0 else t[3:] if i % 3 == 1 else t) for i, t in enumerate(texts)]
+    chars = [(edits(" ".join(a.split()), " ".join(b.split())), len(" ".join(a.split()))) for a, b in read]
+    words = [(edits(a.split(), b.split()), len(a.split())) for a, b in read]
+    for name, pairs in (("cer_micro_macro", chars), ("wer_tokens", words)):
+        found = {r["condition"]: (r["samples"], r["errors"], r["length"]) for r in core.queries()[name](spark, folder).collect()}
+        total = (len(texts), sum(e for e, _ in pairs), sum(n for _, n in pairs))
+        assert found == {"s": total, "all": total}
