@@ -33,12 +33,12 @@ def layout_band_score(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def record_assembly(spark: SparkSession, folder: str) -> DataFrame:
-    cells = blocks(spark, folder).where("row_ix < 10").withColumn("field", F.concat(F.lit("c"), F.col("col_ix").cast("string")))
+    cells = blocks(spark, folder).withColumn("field", F.concat(F.lit("c"), F.col("col_ix").cast("string")))
     return review.assemble(cells, "doc_id", "row_ix", "field", "score")
 
 
 def line_metrics_v2(spark: SparkSession, folder: str) -> DataFrame:
-    rows = blocks(spark, folder).where("ix < 40").select("doc_id", "ix", "left_x", "top_y", "right_x", "bottom_y")
+    rows = blocks(spark, folder).select("doc_id", "ix", "left_x", "top_y", "right_x", "bottom_y")
     gold, found = rows.where("ix % 5 <> 4"), rows.where("doc_id % 7 <> 0 and ix % 3 <> 2")
     edges = layout.spatial_join(gold, found, "doc_id", 40).select("doc_id", F.col("ix").alias("row_a"), F.col("o_ix").alias("row_b"), F.lit(1).cast("long").alias("shared"))
     return review.line_metrics(gold, found, sequential.match_rows(edges), "doc_id")

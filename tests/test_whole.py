@@ -48,3 +48,29 @@ def test_error_rates_over_whole_texts(spark, tmp_path):
         found = {r["condition"]: (r["samples"], r["errors"], r["length"]) for r in core.queries()[name](spark, folder).collect()}
         total = (len(texts), sum(e for e, _ in pairs), sum(n for _, n in pairs))
         assert found == {"s": total, "all": total}
+
+
+LINES = 130
+
+
+def long_documents(spark, folder):
+    data = [(i, "\n".join(f"line {j}" for j in range(n)), "en", 0, "s") for i, n in enumerate((3, LINES), 1)]
+    return made(spark, folder, "documents", data, "doc_id long, text string, lang string, n_chars long, source string")
+
+
+def test_every_block_is_cited_assembled_and_matched(spark, tmp_path):
+    folder = long_documents(spark, tmp_path)
+    run = lambda name: core.queries()[name](spark, folder).collect()
+    cited = {(d, j % 5): 0 for d, n in ((1, 3), (2, LINES)) for j in range(n) if j % 4 != 3}
+    for d, n in ((1, 3), (2, LINES)):
+        for j in range(n):
+            if j % 4 != 3:
+                cited[d, j % 5] += 1
+    assert {(r["doc_id"], r["cell"]): r["blocks"] for r in run("evidence_text_join")} == cited
+    records = {r["doc_id"]: (r["rows"], r["record"].count('"c')) for r in run("record_assembly")}
+    assert records == {1: (1, 3), 2: (-(-LINES // 4), LINES)}
+    (found,) = run("line_metrics_v2")
+    gold = sum(j % 5 != 4 for n in (3, LINES) for j in range(n))
+    predicted = sum(j % 3 != 2 for n in (3, LINES) for j in range(n))
+    both = sum(j % 5 != 4 and j % 3 != 2 for n in (3, LINES) for j in range(n))
+    assert (found["gold_rows"], found["predicted_rows"], found["matched_rows"]) == (gold, predicted, both)
