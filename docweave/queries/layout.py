@@ -69,11 +69,12 @@ def right_neighbor(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def nearest_anchor(spark: SparkSession, folder: str) -> DataFrame:
-    rows = blocks(spark, folder).select("doc_id", "ix", *_BOX).where("ix < 60")
-    anchors = rows.where("ix % 6 = 0")
+    """The nearest block of role 0 above each block of role 1."""
+    rows = blocks(spark, folder).select("doc_id", "ix", *_BOX, "role")
+    anchors = rows.where("role = 0")
     above = (F.col("o_top_y") <= F.col("top_y")) & (F.col("o_ix") != F.col("ix"))
     distance = F.abs(F.col("left_x") - F.col("o_left_x")) + F.abs(F.col("top_y") - F.col("o_top_y"))
-    found = layout.nearest(rows.where("ix % 6 = 4"), anchors, "doc_id", "ix", distance, above, ["o_ix"])
+    found = layout.nearest(rows.where("role = 1"), anchors, "doc_id", "ix", distance, above, ["o_ix"])
     return found.select("doc_id", "ix", F.col("o_ix").alias("anchor_ix"), "distance")
 
 
@@ -83,14 +84,14 @@ def _headers(rows: DataFrame) -> DataFrame:
 
 def column_assign_nearest(spark: SparkSession, folder: str) -> DataFrame:
     rows = blocks(spark, folder)
-    found = layout.nearest_column(rows.where("row_ix between 1 and 20").select("doc_id", "ix", *_BOX), _headers(rows), "doc_id", "ix")
+    found = layout.nearest_column(rows.where("row_ix >= 1").select("doc_id", "ix", *_BOX), _headers(rows), "doc_id", "ix")
     return found.select("doc_id", "ix", F.col("o_ix").alias("column_ix"), "distance")
 
 
 def column_assign_interval(spark: SparkSession, folder: str) -> DataFrame:
     rows = blocks(spark, folder)
     wide = _headers(rows).withColumn("left_x", F.col("left_x") - 15).withColumn("right_x", F.col("right_x") + 15)
-    found = layout.contained_column(rows.where("row_ix between 1 and 20").select("doc_id", "ix", *_BOX), wide, "doc_id", "ix")
+    found = layout.contained_column(rows.where("row_ix >= 1").select("doc_id", "ix", *_BOX), wide, "doc_id", "ix")
     return found.select("doc_id", "ix", F.col("o_ix").alias("column_ix"))
 
 

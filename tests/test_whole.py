@@ -74,3 +74,23 @@ def test_every_block_is_cited_assembled_and_matched(spark, tmp_path):
     predicted = sum(j % 3 != 2 for n in (3, LINES) for j in range(n))
     both = sum(j % 5 != 4 and j % 3 != 2 for n in (3, LINES) for j in range(n))
     assert (found["gold_rows"], found["predicted_rows"], found["matched_rows"]) == (gold, predicted, both)
+
+
+def test_every_block_has_its_anchor_and_column(spark, tmp_path):
+    folder = long_documents(spark, tmp_path)
+    box = lambda d, j: (j % 4 * 250 + 10 * ((d + j) % 3), j // 4 * 20 + j % 3)
+    anchors, near, inside = set(), set(), set()
+    for d, n in ((1, 3), (2, LINES)):
+        for j in range(n):
+            x, y = box(d, j)
+            if j % 3 == 1:
+                distance, anchor = min((abs(x - box(d, o)[0]) + y - box(d, o)[1], o) for o in range(0, n, 3) if box(d, o)[1] <= y)
+                anchors.add((d, j, anchor, distance))
+            if j >= 4:
+                heads = [(abs(x - box(d, o)[0]), box(d, o)[0], o) for o in range(4)]
+                near.add((d, j, min(heads)[2], min(heads)[0]))
+                inside |= {(d, j, o) for gap, _, o in heads if gap <= 15}
+    run = lambda name, *columns: {tuple(r[c] for c in ("doc_id", "ix", *columns)) for r in core.queries()[name](spark, folder).collect()}
+    assert run("nearest_anchor", "anchor_ix", "distance") == anchors
+    assert run("column_assign_nearest", "column_ix", "distance") == near
+    assert run("column_assign_interval", "column_ix") == inside
