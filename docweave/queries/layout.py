@@ -180,16 +180,16 @@ SQL = {
     "right_neighbor": f"""{_W}, j as (select a.doc_id, a.ix, b.ix neighbor_ix, b.left_x-a.right_x distance, row_number() over (partition by a.doc_id,a.ix order by b.left_x-a.right_x, b.ix) n from blocks a join blocks b on a.doc_id=b.doc_id and a.row_ix=b.row_ix and a.ix<>b.ix
  and least(a.bottom_y,b.bottom_y)-greatest(a.top_y,b.top_y)>=0.35*least(a.bottom_y-a.top_y,b.bottom_y-b.top_y) and b.left_x>=a.right_x) select doc_id, ix, neighbor_ix, distance from j where n=1""",
     "nearest_anchor": f"""{_W}, j as (select a.doc_id, a.ix, b.ix anchor_ix, abs(a.left_x-b.left_x)+abs(a.top_y-b.top_y) distance, row_number() over (partition by a.doc_id,a.ix order by abs(a.left_x-b.left_x)+abs(a.top_y-b.top_y), b.ix) n
- from blocks a join blocks b on a.doc_id=b.doc_id and a.ix<60 and b.ix<60 and a.ix%6=4 and b.ix%6=0 and b.top_y<=a.top_y) select doc_id, ix, anchor_ix, distance from j where n=1""",
-    "column_assign_nearest": f"""{_W}, j as (select a.doc_id, a.ix, h.ix column_ix, least(abs(a.left_x-h.left_x),abs((a.left_x+a.right_x)/2.0-(h.left_x+h.right_x)/2.0)) distance, h.left_x hl from blocks a join blocks h on a.doc_id=h.doc_id and h.row_ix=0 and a.row_ix between 1 and 20),
+ from blocks a join blocks b on a.doc_id=b.doc_id and a."role"=1 and b."role"=0 and b.top_y<=a.top_y) select doc_id, ix, anchor_ix, distance from j where n=1""",
+    "column_assign_nearest": f"""{_W}, j as (select a.doc_id, a.ix, h.ix column_ix, least(abs(a.left_x-h.left_x),abs((a.left_x+a.right_x)/2.0-(h.left_x+h.right_x)/2.0)) distance, h.left_x hl from blocks a join blocks h on a.doc_id=h.doc_id and h.row_ix=0 and a.row_ix>=1),
  k as (select *, row_number() over (partition by doc_id,ix order by distance, hl, column_ix) n from j) select doc_id, ix, column_ix, distance from k where n=1""",
-    "column_assign_interval": f"""{_W}, j as (select a.doc_id, a.ix, h.ix column_ix, count(*) over (partition by a.doc_id,a.ix) n from blocks a join blocks h on a.doc_id=h.doc_id and h.row_ix=0 and a.row_ix between 1 and 20 and a.left_x>=h.left_x-15 and a.right_x<=h.right_x+15)
+    "column_assign_interval": f"""{_W}, j as (select a.doc_id, a.ix, h.ix column_ix, count(*) over (partition by a.doc_id,a.ix) n from blocks a join blocks h on a.doc_id=h.doc_id and h.row_ix=0 and a.row_ix>=1 and a.left_x>=h.left_x-15 and a.right_x<=h.right_x+15)
  select doc_id, ix, column_ix from j where n=1""",
     "table_rows_pivot": f"{_W} select doc_id, row_ix, max(score) filter (where col_ix=0) c0, max(score) filter (where col_ix=1) c1, max(score) filter (where col_ix=2) c2, max(score) filter (where col_ix=3) c3 from blocks group by 1,2",
     "bbox_union": f"{_W} select doc_id, row_ix, min(left_x) left_x, min(top_y) top_y, max(right_x) right_x, max(bottom_y) bottom_y, count(*) boxes from blocks group by 1,2",
     "iou_spatial_join": f"""{_W}, j as (select a.doc_id, a.ix, b.ix pred_ix, greatest(least(a.right_x,b.right_x+30)-greatest(a.left_x,b.left_x+30),0)*greatest(least(a.bottom_y,b.bottom_y+5)-greatest(a.top_y,b.top_y+5),0) s from blocks a join blocks b on a.doc_id=b.doc_id and abs(a.row_ix-b.row_ix)<=2)
  select doc_id, ix, pred_ix, round(s/(2*200*14-s),6) iou from j where s>0""",
-    "evidence_text_join": f"""{_W} select doc_id, ix%5 cell, md5(string_agg("text", chr(10) order by ix)) raw_md5, count(*) blocks from blocks where ix<40 and ix%4<>3 group by 1,2""",
+    "evidence_text_join": f"""{_W} select doc_id, ix%5 cell, md5(string_agg("text", chr(10) order by ix)) raw_md5, count(*) blocks from blocks where ix%4<>3 group by 1,2""",
     "unknown_evidence_ids": f"with {ROWS_SQL}, c as (select distinct doc_id, line, part_id+supp_id%3*1000 part_id from rows_) select * from c where not exists (select 1 from rows_ r where r.doc_id=c.doc_id and r.part_id=c.part_id)",
     "row_overlap_edges": f"{_IDS}, e as (select a.doc_id, a.row_ ra, b.row_ rb, count(*) shared from ids a join ids b on a.doc_id=b.doc_id and a.id=b.id and a.line%2=0 and b.line%2=1 group by all) select doc_id, count(*) edges, cast(sum(shared) as bigint) shared from e group by 1",
     "shared_evidence_pairs": f"{_IDS}, e as (select distinct a.doc_id, a.row_ ra, b.row_ rb from ids a join ids b on a.doc_id=b.doc_id and a.id=b.id and a.row_<b.row_) select doc_id, count(*) pairs from e group by 1",

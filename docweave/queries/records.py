@@ -160,8 +160,8 @@ SQL = {
     "status_tabs": "select count(*) all_, count(*) filter (where o_orderstatus='F') n_f, count(*) filter (where o_orderstatus='O') n_o, count(*) filter (where o_orderstatus='P') n_p, count(*) filter (where o_orderstatus in ('O','P')) in_progress from orders",
     "recent_window": "select o_orderkey from orders where o_orderdate >= (select max(o_orderdate) from orders) - interval 7 days",
     "search_filter": "select distinct receipt_id, seller_name from invoice_headers where contains(replace(strip_accents(lower(trim(regexp_replace(seller_name,'\\s+',' ','g')))),'đ','d'), 'dien may')",
-    "sort_null_total": "with l as (select receipt_id, arg_max(coalesce(total_amount,-1), (updated_at, coalesce(total_amount,-1))) total from invoice_headers where receipt_id is not null group by 1) select receipt_id, total from l order by total desc, receipt_id limit 200",
-    "audit_history": f"{_E} select user_id, event_id, us, event_type from ev qualify row_number() over (partition by user_id order by us, event_id)<=5",
+    "sort_null_total": "with l as (select receipt_id, arg_max(coalesce(total_amount,-1), (updated_at, coalesce(total_amount,-1))) total from invoice_headers where receipt_id is not null group by 1) select receipt_id, total from l order by total desc, receipt_id",
+    "audit_history": f"{_E} select user_id, event_id, us, event_type from ev order by user_id, us, event_id",
     "telemetry_active_time": f"""{_E}, c as (select *, case event_type when 'view' then 1 when 'click' then -1 else 0 end ch from ev where event_type in ('view','click','purchase')), s as (select *, sum(ch) over w d, lead(us) over w-us span from c window w as (partition by user_id order by us, event_id)),
  m as (select *, d-least(0,min(d) over (partition by user_id order by us, event_id rows unbounded preceding)) lv from s) select user_id, cast(coalesce(sum(span) filter (where lv<=0),0) as bigint) active, cast(coalesce(sum(span) filter (where lv>0),0) as bigint) paused, count(*) events from m group by 1""",
     "split_leakage": """with r as (select sha256(text) source_hash, batch_id, case when doc_id%5=0 then 'validation' else 'train' end split from documents), l as (select 'source_hash' key_name, source_hash key, split from r union all select 'batch_id', batch_id, split from r)

@@ -57,8 +57,8 @@ SQL = {
     "review_decision": f"with {BLOCKS_SQL}, {_R} select doc_id, ix, coalesce(array_to_string(rs, ','),'') reasons, len(rs)>0 needs_review from r",
     "error_category_v2": f"with {BLOCKS_SQL}, {_R} select case when list_contains(rs,'NO_CANDIDATE') then 'NO_CANDIDATE' when list_contains(rs,'SOURCE_ROLE_UNCLEAR') then 'ROLE_CONFUSION' when list_contains(rs,'MULTIPLE_CANDIDATES') then 'MULTIPLE_CANDIDATES' else 'WRONG_CANDIDATE' end category, count(*) n from r where score%3=0 group by 1",
     "layout_band_score": f"with {BLOCKS_SQL}, c as (select doc_id, ix, (top_y+bottom_y)/2000e0 c from blocks) select doc_id, ix, case when c<=0.3 then 1e0 when c<=0.5 then 0.6e0 when c<=0.8 then 0.3e0 else 0.1e0 end band_score from c",
-    "record_assembly": f"""with {BLOCKS_SQL}, r as (select doc_id, row_ix, '{{'||string_agg('"c'||col_ix||'":'||score, ',' order by col_ix)||'}}' j from blocks where row_ix<10 group by 1,2) select doc_id, '['||string_agg(j, ',' order by row_ix)||']' record, count(*) "rows" from r group by 1""",
-    "line_metrics_v2": f"""with {BLOCKS_SQL}, g as (select * from blocks where ix<40 and ix%5<>4), p as (select * from blocks where ix<40 and doc_id%7<>0 and ix%3<>2), m as (select g.doc_id, g.ix from g join p using (doc_id, ix)), d as (select doc_id from g union select doc_id from p)
+    "record_assembly": f"""with {BLOCKS_SQL}, r as (select doc_id, row_ix, '{{'||string_agg('"c'||col_ix||'":'||score, ',' order by col_ix)||'}}' j from blocks group by 1,2) select doc_id, '['||string_agg(j, ',' order by row_ix)||']' record, count(*) "rows" from r group by 1""",
+    "line_metrics_v2": f"""with {BLOCKS_SQL}, g as (select * from blocks where ix%5<>4), p as (select * from blocks where doc_id%7<>0 and ix%3<>2), m as (select g.doc_id, g.ix from g join p using (doc_id, ix)), d as (select doc_id from g union select doc_id from p)
  select (select count(*) from d) documents, (select count(*) from g) gold_rows, (select count(*) from p) predicted_rows, (select count(*) from m) matched_rows, (select count(*) from p)-(select count(*) from m) extra_rows,
  round((select count(*) from m)/(select count(*) from p),6) detection_precision, round((select count(*) from m)/(select count(*) from g),6) detection_recall, round(2*(select count(*) from m)/((select count(*) from p)+(select count(*) from g)),6) detection_f1""",
     "tax_inline_rows": "with r as (select distinct l_orderkey, cast(floor(l_tax*100+0.5) as bigint) r, cast(floor(l_extendedprice) as bigint) p from lineitem) select l_orderkey, r::varchar rate, p::varchar taxable, cast(floor(p*r/100e0) as bigint)::varchar tax from r",

@@ -168,7 +168,7 @@ SQL = {
  select doc_id, ix, n, raw, case when a>12 or a=b then strftime(try_cast(y||'-'||b||'-'||a as date),'%Y-%m-%d') when b>12 then strftime(try_cast(y||'-'||a||'-'||b as date),'%Y-%m-%d') end iso from p""",
     "uuid5_ids": f"""with h as (select o_orderkey, sha1(unhex('{NAMESPACE.hex}') || encode('order|'||o_orderkey)) s from orders)
  select o_orderkey, substr(s,1,8)||'-'||substr(s,9,4)||'-5'||substr(s,14,3)||'-'||substr('89ab', (('0x'||substr(s,17,1))::int%4)+1, 1)||substr(s,18,3)||'-'||substr(s,21,12) id from h""",
-    "cer_micro_macro": r"""with d as (select doc_id, coalesce(source,'none') condition, regexp_replace(text,'[^\x20-\x7E]','','g') r from documents where lang='en' and n_chars<=400),
+    "cer_micro_macro": r"""with d as (select doc_id, coalesce(source,'none') condition, regexp_replace(text,'[^\x20-\x7E]','','g') r from documents where lang='en'),
  h as (select condition, trim(regexp_replace(r,' +',' ','g')) a, trim(regexp_replace(case doc_id%3 when 0 then replace(r,'e','c') when 1 then substring(r,4) else r end,' +',' ','g')) b from d),
  e as (select condition, levenshtein(a,b) e, length(a) n from h)
  select coalesce(condition,'all') condition, count(*) samples, cast(sum(e) as bigint) errors, cast(sum(n) as bigint) length, round(100.0*sum(e)/nullif(sum(n),0),6)::double micro, round(avg(round((100e0*e)/nullif(n,0),2)),2) macro from e group by grouping sets ((condition),())""",

@@ -6,7 +6,6 @@ from docweave import queries as core
 from tests.oracle import compare
 
 SQL = core.oracle_sql()
-SLOW = {"extract_consistency", "extract_agreement"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -14,7 +13,7 @@ def test_matches_sql(spark, small, name):
     compare(spark, small, core.queries()[name], SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(core.queries()) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(core.queries()) - set(SQL)))
 def test_runs(spark, small, name):
     assert core.queries()[name](spark, small).count() >= 0
 
