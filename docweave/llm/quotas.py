@@ -3,14 +3,19 @@
 Method: for each plan a min-cost flow over the cross-classified cell counts.  The source
 feeds each target category what it needs (its share or its floor, whichever is more); a
 category feeds the cells it is made of - its label crossed with a second label - up to
-their availability, cheapest in proportion to what they hold; an arc from the category
-past the cells takes, at a high cost, what no record can fill: the shortfall.  The unit
-costs of the last units are drawn at random from the seed, so the integer quotas are drawn
-randomly.  The records of a cell are then taken in hash order up to its quota.
-
-Only cell counts reach the driver; the second label keeps its ``CROSS`` most frequent
-values and one for all others, so their number is bounded by the targets.  A cell that
-holds a third of all rows is cut at a hash value found from counts, never sorted as a whole.
+their availability; cells feed the second label's margins, which are wished targets too:
+the shares the second label has among all records of the plan's categories.  Slack arcs
+expose what cannot be had: one from a category past its cells, at a high cost, takes what
+no record can fill - the shortfall; one from a second label, at a lower cost, takes what
+goes beyond its margin.  So records are exchanged between cells of different categories
+until both margins fit, which no sort by one label does.  The unit costs of the cells are
+drawn at random from the seed, so the integer quotas are drawn randomly.  The records of a
+cell are then taken in hash order up to its quota.
+
+Only cell counts reach the driver.  The second label counts by ``CLASSES`` hash classes,
+exactly and whatever its values, so the cells are bounded by the targets times ``CLASSES``
+(two values that fall into one class share a margin).  A cell that holds a third of all
+rows is cut at a hash value found from counts, never sorted as a whole.
 
 Defined results: rows repeated for a record count once; records without a label count in
 the table's total and fill no target; label spelling does not matter; a plan over an empty
@@ -23,16 +28,17 @@ import math
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import label_key
-from docweave.llm.common import once, share
+from docweave.llm.common import earlier, once, share
 from docweave.session import cut
 
-#: Values of the second label that are told apart.
-CROSS = 32
-SHORT = 1_000_000
+#: Hash classes of the second label's values; null is a class of its own.
+CLASSES = 256
+#: Costs of a record short of a category's need, and of one beyond a second label's margin.
+SHORT, BEYOND = 1_000_000, 10.0
 
 
 def min_cost_flow(arcs: list[tuple[str, str, int, float]], source: str, sink: str) -> list[int]:
@@ -69,25 +75,43 @@ def min_cost_flow(arcs: list[tuple[str, str, int, float]], source: str, sink: st
             room[e ^ 1] += most
 
 
+def _margins(held: dict[str, int], drawn: int) -> dict[str, int]:
+    """``drawn`` divided in proportion to ``held``, rounded by largest remainder."""
+    whole = sum(held.values())
+    exact = {x: Fraction(drawn * n, whole) for x, n in held.items()} if whole else {}
+    made = {x: int(e) for x, e in exact.items()}
+    for x in sorted(exact, key=lambda x: (made[x] - exact[x], x))[: drawn - sum(made.values())]:
+        made[x] += 1
+    return made
+
+
 def solve(targets: list[dict], cells: dict[tuple[str, str], int], total: int, seed: int) -> tuple[list[dict], dict[tuple[str, str], int]]:
     """Report rows and cell quotas of one plan; ``cells`` counts (label, second label)."""
     draw, arcs, needs = np.random.default_rng(seed), [], []
     by_label: dict[str, list[tuple[str, int]]] = {}
     for (label, other), n in sorted(cells.items()):
         by_label.setdefault(label, []).append((other, n))
+    held: dict[str, int] = {}
+    drawn = 0
     for t in targets:
         wish = Fraction(str(t["target_share"])) * Fraction(str(t["sample_fraction"])) * total
         needs.append(need := max(int(t["min_count"]), math.ceil(wish)))
         key, c = t["key"], f"c:{t['key']}"
+        mine = by_label.get(key, [])
+        whole = sum(n for _, n in mine)
+        drawn += min(need, whole)
         arcs.append(("source", c, need, 0.0))
         arcs.append((c, "sink", need, float(SHORT)))
-        held = by_label.get(key, [])
-        whole = sum(n for _, n in held)
-        for other, n in held:
+        for other, n in mine:
+            held[other] = held.get(other, 0) + n
+            # The even part of a cell is free; what exceeds it costs a random unit.
             even = min(n, need * n // max(whole, 1))
             arcs.append((c, f"x:{key}\x1f{other}", even, 0.0))
             arcs.append((c, f"x:{key}\x1f{other}", n - even, 1.0 + float(draw.random())))
-            arcs.append((f"x:{key}\x1f{other}", "sink", n, 0.0))
+            arcs.append((f"x:{key}\x1f{other}", f"o:{other}", n, 0.0))
+    for other, margin in _margins(held, drawn).items():
+        arcs.append((f"o:{other}", "sink", margin, 0.0))
+        arcs.append((f"o:{other}", "sink", held[other], BEYOND))
     flow = min_cost_flow(arcs, "source", "sink") if arcs else []
     quotas: dict[tuple[str, str], int] = {}
     short: dict[str, int] = {}
@@ -100,7 +124,8 @@ def solve(targets: list[dict], cells: dict[tuple[str, str], int], total: int, se
     rows = []
     for t, need in zip(targets, needs, strict=True):
         available = sum(n for _, n in by_label.get(t["key"], []))
-        rows.append({"plan_name": t["plan_name"], "category": t["category"], "wanted": need, "available": available, "drawn": need - short[t["key"]], "shortfall": short[t["key"]]})
+        missing = short[t["key"]]
+        rows.append({"plan_name": t["plan_name"], "category": t["category"], "wanted": need, "available": available, "drawn": need - missing, "shortfall": missing})
     return rows, quotas
 
 
@@ -117,6 +142,11 @@ def _tables(manifest: DataFrame, pool: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _class(other: Column) -> Column:
+    """The hash class of a second label, as text; empty for null."""
+    return F.when(other.isNull(), "").otherwise(F.pmod(F.xxhash64(other), F.lit(CLASSES)).cast("string"))
+
+
 def plan(manifest: DataFrame, pool: DataFrame, targets: DataFrame, seed: int = 20) -> tuple[list[dict], dict[str, tuple[DataFrame, dict[str, dict]]]]:
     """Report rows of all plans, and by label column its records and each plan's cell quotas."""
     wished = [r.asDict() for r in targets.withColumn("key", label_key(F.col("category"))).orderBy("plan_name", "category").collect()]  # fixed small table
@@ -127,8 +157,7 @@ def plan(manifest: DataFrame, pool: DataFrame, targets: DataFrame, seed: int = 2
             continue
         keys = sorted({t["key"] for t in of_column})
         records = cut(records)
-        frequent = [r[0] for r in records.groupBy("other").count().orderBy(F.desc("count"), "other").limit(CROSS).collect() if r[0] is not None]
-        crossed = records.withColumn("other", F.when(F.col("other").isin(frequent), F.col("other")).otherwise("")) if frequent else records.withColumn("other", F.lit(""))
+        crossed = records.withColumn("other", _class(F.col("other")))
         counts = crossed.groupBy(F.when(F.col("label").isin(keys), F.col("label")).alias("label"), "other").count().collect()
         cells = {(r["label"], r["other"]): r["count"] for r in counts if r["label"] is not None}
         total = sum(r["count"] for r in counts)
@@ -158,10 +187,9 @@ def sample(manifest: DataFrame, pool: DataFrame, targets: DataFrame, seed: int =
         slots = max(1, records.count() // 50_000)
         wanted = spark.createDataFrame([(p, a, b, n) for p, cells in quotas.items() for (a, b), n in cells.items() if n], "plan_name string, label string, other string, quota long")
         placed = records.withColumn("luck", share(F.col("id"), "quota", seed)).withColumn("slot", F.floor(F.col("luck") * slots))
-        # How many records of the cell lie in earlier slots; there are few slots a cell.
+        # How many records of the cell lie in earlier slots.
         slot_counts = placed.groupBy("label", "other", "slot").agg(F.count("*").alias("n"))
-        earlier = slot_counts.withColumn("before", F.sum("n").over(Window.partitionBy("label", "other").orderBy("slot")) - F.col("n"))
-        asked = earlier.join(F.broadcast(wanted), ["label", "other"]).where("before < quota").select("plan_name", "label", "other", "slot", (F.col("quota") - F.col("before")).alias("left"))
+        asked = earlier(slot_counts, ["label", "other"], []).join(F.broadcast(wanted), ["label", "other"]).where("before < quota").select("plan_name", "label", "other", "slot", (F.col("quota") - F.col("before")).alias("left"))
         rows = placed.join(asked, ["label", "other", "slot"])
         order = Window.partitionBy("plan_name", "label", "other", "slot").orderBy("luck", "id")
         chosen = rows.withColumn("rank", F.row_number().over(order)).where("rank <= left").select("plan_name", "id", "label")
