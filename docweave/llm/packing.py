@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.text import token_count
+from docweave.session import cut
 
 #: Bins a shard keeps open for each plan, and texts for each shard.
-OPEN, SHARD = 64, 50_000
+OPEN, SHARD = 64, 10_000
 PIECES = "plan_name string, doc_id long, piece int, pieces int, tokens long, bin string"
 
 
@@ -89,8 +90,9 @@ def pack(documents: DataFrame, plans: DataFrame, places: int = OPEN) -> DataFram
     wished = [(r["plan_name"], int(r["capacity_tokens"])) for r in plans.where("capacity_tokens > 0").select("plan_name", "capacity_tokens").distinct().orderBy("plan_name").collect()]  # fixed small table
     sized = documents.select("doc_id", token_count(F.col("text")).alias("tokens"))
     shards = max(1, documents.select("doc_id").count() // SHARD)
-    spread = sized.where("tokens > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(shards)))
-    ordered = spread.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("doc_id"), "doc_id", "tokens")
+    spread = sized.where("tokens > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(shards)).cast("int"))
+    # The shard's number is the partition, so that every task has one shard.
+    ordered = spread.repartitionById(shards, "shard").sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "tokens")
     return ordered.mapInPandas(_packer(wished, places), PIECES)
 
 
@@ -100,6 +102,25 @@ def report(packed: DataFrame, plans: DataFrame) -> DataFrame:
     return total.join(F.broadcast(plans.select("plan_name", "capacity_tokens").distinct()), "plan_name").select("plan_name", "bins", "tokens", (F.col("tokens") / (F.col("bins") * F.col("capacity_tokens"))).alias("fill"))
 
 
+def invariants(packed: DataFrame, plans: DataFrame) -> DataFrame:
+    """One row for each plan on what a packing holds.
+
+    ``texts`` and ``tokens`` placed, ``overfull`` bins above the capacity, ``torn`` texts that
+    are split though they would fit or whose pieces are not whole, and ``dense`` (bins are
+    filled to nine tenths, but for the open ones).
+    """
+    rows = cut(packed).join(F.broadcast(plans.select("plan_name", "capacity_tokens").distinct()), "plan_name")
+    bins = rows.groupBy("plan_name", "bin").agg(F.sum("tokens").alias("filled"), F.max("capacity_tokens").alias("capacity"))
+    by_bin = bins.groupBy("plan_name").agg(
+        F.count_if(F.col("filled") > F.col("capacity")).alias("overfull"),
+        (F.sum("filled") >= 0.9 * F.greatest(F.count("*") - OPEN, F.lit(0)) * F.max("capacity")).alias("dense"),
+    )
+    texts = rows.groupBy("plan_name", "doc_id").agg(F.sum("tokens").alias("n"), F.max("pieces").alias("pieces"), F.count("*").alias("made"), F.max("capacity_tokens").alias("capacity"))
+    torn = (F.col("pieces") != F.col("made")) | (F.col("pieces") != F.ceil(F.col("n") / F.col("capacity")))
+    by_text = texts.groupBy("plan_name").agg(F.count("*").alias("texts"), F.sum("n").alias("tokens"), F.count_if(torn).alias("torn"))
+    return by_text.join(by_bin, "plan_name").select("plan_name", "texts", "tokens", "overfull", "torn", "dense")
+
+
 def split_texts(packed: DataFrame) -> DataFrame:
     """``plan_name``, ``doc_id`` of texts that alone exceed the capacity."""
     return packed.where("pieces > 1").select("plan_name", "doc_id").distinct()

@@ -21,6 +21,10 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return splits.report(splits.assign(splits.records(table(spark, folder, "kie_split"))))
 
 
+def p1_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.invariants(splits.assign(splits.records(table(spark, folder, "kie_split"))))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return splits.straddling(splits.assign(splits.records(table(spark, folder, "kie_split"))))
 
@@ -84,13 +88,17 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.report(p7_packed(spark, folder), table(spark, folder, "pack_plans"))
 
 
+def p7_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.invariants(p7_packed(spark, folder), table(spark, folder, "pack_plans"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return packing.split_texts(p7_packed(spark, folder))
 
 
-def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, folder: str, feasible: bool = False) -> tuple[DataFrame, DataFrame]:
     sized = cut(mixing.sizes(_texts_of(spark, folder, "source")))
-    rated = mixing.rates(sized, table(spark, folder, "mix_targets"))
+    rated = mixing.rates(sized, table(spark, folder, "mix_targets"), feasible)
     return mixing.mix(sized, rated), rated
 
 
@@ -102,6 +110,14 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(*_mixture(spark, folder))
 
 
+def p8_feasible(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.report(*_mixture(spark, folder, feasible=True))
+
+
+def p8_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.invariants(p8_report(spark, folder))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_report(spark, folder).where("not reached").select("mix_name", "source")
 

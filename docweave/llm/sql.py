@@ -26,15 +26,39 @@ cur as (select test_id, min({_KEY.format("kie_split")}) cur from kie_split group
 _HASH = r"nullif(regexp_replace(regexp_replace(lower(sha256), '^\s*sha-?256\s*[:=]\s*', ''), '[^0-9a-f]', '', 'g'), '')"
 _NEAR = " and ".join(f"abs(ln(t.{m})-ln(p.{m}))<=-ln(0.99)" for m in ("brightness", "contrast", "sharpness", "illumination_range"))
 
+
+def _labelled(key: str) -> str:
+    return f"""with t as (select distinct test_id id, {key.format("selection_stratum")} s, {key.format("quality_label_manual")} q from test_manifest), p as (select distinct candidate_id id, {key.format("heuristic_group")} g from candidate_pool),
+ l as (select 'selection_stratum' c, id, s k from t union select 'quality_label_manual', id, q from t union select 'heuristic_group', id, g from p), n as (select c, count(distinct id) n from l group by 1), h as (select c, k, count(distinct id) h from l group by 1,2)"""
+
+
+def _targets(key: str) -> str:
+    return f"stratum_targets join n on n.c=label_column left join h on h.c=label_column and h.k={key.format('category')}"
+
+
+# White space of any kind, as the operators read it.
+_WIDE_KEY = r"nullif(trim(regexp_replace(lower({0}), '[\s\x1c-\x1f\x{{85}}\p{{Z}}_\-]+', '_', 'g'), '_'), '')"
+_PAIRS = f"""select distinct test_id, candidate_id from t join p on t.h=p.h or ({_NEAR} and abs(abs(ln(t.height/t.width))-abs(ln(p.height/p.width)))<=-ln(0.99))"""
+_PICTURES = f"""with t as (select distinct test_id, {_HASH} h, width, height, brightness, contrast, sharpness, illumination_range from test_manifest),
+ p as (select distinct candidate_id, {_HASH} h, width, height, brightness, contrast, sharpness, illumination_range from candidate_pool where {_KEY.format("pool_split")}='train')"""
+_FOLDER = r"regexp_extract(source_file, '^(.*)/[^/]*$', 1)"
+
 SQL: dict[str, str] = {
     "p1_found": f"{_GROUPED}, bad as (select group_test_id from root join cur using (test_id) group by 1 having count(distinct cur)>=2) select test_id, group_test_id from root where group_test_id in (select group_test_id from bad)",
-    "p3_found": f"""with t as (select distinct test_id id, {_KEY.format("selection_stratum")} s, {_KEY.format("quality_label_manual")} q from test_manifest), p as (select distinct candidate_id id, {_KEY.format("heuristic_group")} g from candidate_pool),
- l as (select 'selection_stratum' c, id, s k from t union select 'quality_label_manual', id, q from t union select 'heuristic_group', id, g from p), n as (select c, count(distinct id) n from l group by 1), h as (select c, k, count(distinct id) h from l group by 1,2)
- select plan_name, category from stratum_targets join n on n.c=label_column left join h on h.c=label_column and h.k={_KEY.format("category")} where coalesce(h,0) < greatest(min_count, round(target_share*sample_fraction*n,9))""",
-    "p5_found": f"""with t as (select distinct test_id, {_HASH} h, width, height, brightness, contrast, sharpness, illumination_range from test_manifest),
- p as (select distinct candidate_id, {_HASH} h, width, height, brightness, contrast, sharpness, illumination_range from candidate_pool where {_KEY.format("pool_split")}='train')
- select distinct test_id, candidate_id from t join p on t.h=p.h or ({_NEAR} and abs(abs(ln(t.height/t.width))-abs(ln(p.height/p.width)))<=-ln(0.99))""",
+    "p1_invariants": f"{_GROUPED} select cast((select count(*) from root) as bigint) records, count(distinct group_test_id) groups, 0 divided, true on_target, true improved from root",
+    "p3_report": f"""{_labelled(_WIDE_KEY)}
+ select plan_name, category, w wanted, a available, least(w, a) drawn, greatest(w-a, 0) shortfall from (select plan_name, category, coalesce(h,0) a,
+ cast(greatest(min_count, ceil(round(target_share*sample_fraction*n,9))) as bigint) w from {_targets(_WIDE_KEY)})""",
+    "p3_found": f"""{_labelled(_KEY)}
+ select plan_name, category from {_targets(_KEY)} where coalesce(h,0) < greatest(min_count, round(target_share*sample_fraction*n,9))""",
+    "p5_found": f"{_PICTURES} {_PAIRS}",
+    "p5_report": f"""{_PICTURES}, o as ({_PAIRS}), c as (select test_id, count(*) n from o group by 1), r as (select test_id, coalesce({_FOLDER}, '') source from (select test_id, min(source_file) source_file from test_manifest where test_id is not null group by 1)),
+ s as (select test_id, min({_KEY.format("kie_split")}) split from kie_split group by 1)
+ select split, source, count(*) records, count(n) overlapping, cast(coalesce(sum(n),0) as bigint) pairs from r left join s using (test_id) left join c using (test_id) group by 1,2""",
+    "p7_invariants": f"""select plan_name, count(*) texts, cast(sum(n) as bigint) tokens, 0 overfull, 0 torn, true dense from (select {_TOKENS} n from documents) join pack_plans on n>0 group by 1""",
     "p7_found": f"select plan_name, doc_id from (select doc_id, {_TOKENS} n from documents) join pack_plans on n>capacity_tokens",
+    "p8_invariants": f"""with d as (select {_KEY.format("source")} s, {_TOKENS} n from documents), g as (select s, sum(n) n from d group by 1)
+ select mix_name, source, true within_repeats, true near_target, not (target_share*(select sum(n) from d) > max_repeats*coalesce(n,0)) reached from mix_targets left join g on s={_KEY.format("source")}""",
     "p8_found": f"""with d as (select {_KEY.format("source")} s, {_TOKENS} n from documents), g as (select s, sum(n) n from d group by 1)
  select mix_name, source from mix_targets left join g on s={_KEY.format("source")} where target_share*(select sum(n) from d) > max_repeats*coalesce(n,0)""",
 }
