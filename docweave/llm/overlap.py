@@ -1,27 +1,33 @@
 """Problem 5: pictures of the evaluation records that also lie, exactly or almost, in the training rows.
 
-Method: a weighted cosine join between the splits.  Every record has up to two vectors:
-one of its content hash, one of its measures.  A measure term is a cell of a grid over the
-logarithms of the sides' ratio (either way up) and three of the four measures; the four
-choices of three give four terms.  Grid cells are three times as wide as the tolerance on
-either side, and the evaluation side takes every cell its tolerance reaches, so two
-agreeing records share all their terms.  Terms weigh ln(1 + N / df).
-
-The inverted lists hold, of each training vector, only the rarest terms whose removal
-leaves a residual norm below the threshold; terms without a list (maximum weight 0) are
-not probed.  Candidates get their exact dot product, and those at the threshold are held
-against the tolerance itself.  Records with the same values are one vector, so a group of
-copies costs one and is expanded only in the result.
+Method: a weighted cosine join between the splits.  Every record has up to two vectors: one
+of its content hash, one of its measures.  The terms of a measure vector are the cells its
+point - the logarithms of the sides' ratio, either way up, and of the four measures - lies
+in, in each of ``GRIDS`` grids that are shifted against each other by the tolerance.  Two
+points that agree within the tolerance are parted by at most one grid in each of the five
+coordinates, so they share at least ``GRIDS - 5`` terms.  A term's squared weight is
+between 1 and 2 and falls with the number of training vectors that hold it, so agreeing
+vectors have a cosine of at least ``THRESHOLD``: nothing is lost above it.
+
+Both sides are pruned.  Terms are ordered from the rarest; of a vector only the first ones
+are listed or probed, up to where what remains cannot reach the threshold with any vector
+of the other side: neither by its residual norm nor by the largest weights the other side
+can have on it.  A pair above the threshold then shares a listed and probed term.
+Candidates get their exact dot product over both norms, and those at the threshold are held
+against the tolerance itself.
+
+Records with the same values are one vector, so a group of copies costs one and is expanded
+only where pairs of records are asked for; :func:`linked` gives one row for each record
+with its class and its number of links instead.
 
 Defined results: without a hash there is no hash vector, and without all four measures and
-both sides, all positive, no measure vector; repeated rows count once; nothing is dropped for being
-frequent.
+both sides, all positive, no measure vector; repeated rows count once; nothing is dropped
+for being frequent.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +39,14 @@ from docweave.session import cut
 MEASURES = ["brightness", "contrast", "sharpness", "illumination_range"]
 #: Relative difference up to which measures and ratios agree.
 TOLERANCE = 0.01
-#: Cosine from which two vectors of one kind are compared in full.
-THRESHOLD = 0.95
+#: Shifted grids, each as wide as the tolerance times their number, and coordinates of a point.
+GRIDS, SIDES = 12, 5
 _REACH = -math.log(1 - TOLERANCE) + 1e-9
-_WIDTH = 6 * _REACH
+_SHIFT = _REACH * (1 + 1e-6)
+#: Bounds of a squared weight.
+LIGHT, HEAVY = 1.0, 2.0
+#: Least cosine of agreeing vectors: all terms they share are light, all others heavy.
+THRESHOLD = (GRIDS - SIDES) * LIGHT / ((GRIDS - SIDES) * LIGHT + SIDES * HEAVY) - 1e-9
 
 
 def content_hash(col: Column) -> Column:
@@ -54,74 +64,141 @@ def features(df: DataFrame, key: str, *keep: str) -> DataFrame:
     return rows.select(F.col(key).alias("id"), content_hash(F.col("sha256")).alias("hash"), F.when(positive, logs).alias("x"), *keep)
 
 
-def _vectors(rows: DataFrame) -> DataFrame:
-    """``v``, ``kind``, ``hash``, ``x``: the different vectors of the records; ``v`` names one."""
-    hashes = rows.where("hash is not null").select(F.lit("hash").alias("kind"), "hash", F.lit(None).cast("array<double>").alias("x"))
-    measures = rows.where("x is not null").select(F.lit("measures").alias("kind"), F.lit(None).cast("string").alias("hash"), "x")
-    return hashes.union(measures).distinct().withColumn("v", F.md5(F.coalesce("hash", F.to_json("x"))))
+def _vectors(rows: DataFrame, side: int) -> DataFrame:
+    """``side``, ``v``, ``hash``, ``x``: the different vectors of the records; ``v`` names one."""
+    hashes = rows.where("hash is not null").select(_name("hash").alias("v"), "hash", F.lit(None).cast("array<double>").alias("x"))
+    measures = rows.where("x is not null").select(_name("x").alias("v"), F.lit(None).cast("string").alias("hash"), "x")
+    return hashes.union(measures).distinct().withColumn("side", F.lit(side))
 
 
-def _terms(reach: float) -> Column:
-    """Terms of a vector: the hash, or grid cells within ``reach`` of its point."""
-    cell = lambda v: F.floor(v / F.lit(_WIDTH)).cast("string")
-    grid = F.transform("x", lambda v: F.array_distinct(F.array(cell(v - F.lit(reach)), cell(v + F.lit(reach)))))
-    choices = F.array(*[F.array(*map(F.lit, c)) for c in combinations(range(1, 5), 3)])
+def _name(column: str) -> Column:
+    """The name of a record's hash or measure vector; null if it has none."""
+    return F.unhex(F.md5(F.concat(F.lit(f"{column}:"), F.col(column) if column == "hash" else F.to_json(column))))
 
-    def crossed(made: Column, cells: Column) -> Column:
-        return F.flatten(F.transform(made, lambda t: F.transform(cells, lambda c: F.concat_ws(",", t, c))))
 
-    def cross(choice: Column) -> Column:
-        made = F.transform(grid[0], lambda a: F.concat_ws(",", F.array_join(choice.cast("array<string>"), ""), a))
-        for i in (1, 2, 3):
-            made = crossed(made, F.element_at(grid, F.element_at(choice, i) + 1))
-        return made
+def _terms() -> Column:
+    """Terms of a vector: its hash, or its cell in each of the shifted grids."""
 
-    return F.when(F.col("kind") == "hash", F.array("hash")).otherwise(F.flatten(F.transform(choices, cross)))
+    def cell(shift: Column) -> Column:
+        moved = F.transform("x", lambda v: F.floor((v + shift * _SHIFT) / (GRIDS * _SHIFT)))
+        return F.xxhash64(shift, moved)
 
+    return F.when(F.col("hash").isNotNull(), F.array(F.xxhash64("hash"))).otherwise(F.transform(F.array(*[F.lit(float(i)) for i in range(GRIDS)]), cell))
 
-def vector_pairs(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """``v_a``, ``v_b``, ``cosine`` of vectors at the threshold: ``asked`` against ``known``."""
-    count = known.count()
-    postings = known.select("v", F.explode(_terms(0.0)).alias("term"))
-    weights = postings.groupBy("term").agg(F.ln(1 + F.lit(float(count)) / F.count("*")).alias("w"))
-    entry = F.struct(F.negate("w").alias("order"), "term", "w")
-    full = cut(postings.join(weights, "term").groupBy("v").agg(F.array_sort(F.collect_list(entry)).alias("terms")))
-    norm = F.aggregate("terms", F.lit(0.0), lambda s, t: s + t["w"] * t["w"])
-    # A term is listed if the terms before it leave a residual norm of at least the threshold.
-    before = lambda i: F.aggregate(F.slice("terms", F.lit(1), i), F.lit(0.0), lambda s, t: s + t["w"] * t["w"])
-    listed = F.filter("terms", lambda t, i: (F.col("norm") - before(i)) >= F.lit(THRESHOLD**2) * F.col("norm"))
-    index = full.withColumn("norm", norm).select(F.col("v").alias("v_b"), F.explode(listed).alias("t")).select("v_b", F.col("t.term").alias("term"))
-    probes = asked.select(F.col("v").alias("v_a"), _terms(_REACH).alias("asked"))
-    met = probes.select("v_a", F.explode("asked").alias("term")).join(index, "term").select("v_a", "v_b").distinct()
-    both = met.join(probes, "v_a").join(full.select(F.col("v").alias("v_b"), "terms"), "v_b")
-    shared = F.aggregate(F.filter("terms", lambda t: F.array_contains("asked", t["term"])), F.lit(0.0), lambda s, t: s + t["w"] * t["w"])
-    return both.select("v_a", "v_b", (shared / norm).alias("cosine")).where(F.col("cosine") >= THRESHOLD)
+
+def weighed(vectors: DataFrame) -> DataFrame:
+    """``vectors`` with ``terms``, rarest first, and their squared ``norm``.
+
+    A term is ``(order, term)``; ``order`` is its squared weight, negative so that arrays sort
+    from the rarest term.
+    """
+    postings = vectors.select("side", "v", "hash", "x", F.explode(_terms()).alias("term"))
+    held = postings.groupBy("term").agg(F.sum("side").alias("n"))
+    weight = LIGHT + (HEAVY - LIGHT) / (1 + F.ln(F.greatest("n", F.lit(1)).cast("double")))
+    weights = held.select("term", F.negate(weight).alias("order"))
+    entries = F.array_sort(F.collect_list(F.struct("order", "term")))
+    joined = postings.join(weights, "term")
+    return joined.groupBy("side", "v").agg(F.first("hash").alias("hash"), F.first("x").alias("x"), entries.alias("terms"), F.negate(F.sum("order")).alias("norm"))
+
+
+def _leading() -> Column:
+    """The terms of a vector to list or probe.
+
+    A term is left out if it and all after it add less to any dot product than the threshold
+    asks for: by the largest weights they can meet (they count once, the other norm is at
+    least that of a vector of light terms), or by their residual norm.
+    """
+    least = F.when(F.col("hash").isNotNull(), LIGHT).otherwise(GRIDS * LIGHT)
+    enough = F.greatest(THRESHOLD * F.sqrt(F.col("norm") * least), THRESHOLD**2 * F.col("norm"))
+
+    def rest(i: Column) -> Column:
+        return F.aggregate(F.slice("terms", i + 1, F.lit(GRIDS)), F.lit(0.0), lambda s, t: s - t["order"])
+
+    return F.transform(F.filter("terms", lambda t, i: rest(i) >= enough), lambda t: t["term"])
+
+
+def candidates(full: DataFrame) -> DataFrame:
+    """``v_a``, ``v_b``: vectors of side 0 and 1 that share a leading term (see :func:`weighed`)."""
+    listed = full.select("side", "v", F.explode(_leading()).alias("term"))
+    a = listed.where("side = 0").select(F.col("v").alias("v_a"), "term")
+    b = listed.where("side = 1").select(F.col("v").alias("v_b"), "term")
+    return a.join(b, "term").select("v_a", "v_b").distinct()
+
+
+def vector_pairs(full: DataFrame) -> DataFrame:
+    """``v_a``, ``v_b``, ``cosine`` and both points of the candidates at the threshold."""
+    side = lambda n, s: full.where(F.col("side") == n).select(*[F.col(c).alias(f"{c}_{s}") for c in ("v", "hash", "x", "terms", "norm")])
+    both = candidates(full).join(side(0, "a"), "v_a").join(side(1, "b"), "v_b")
+    dot = F.aggregate(F.array_intersect("terms_a", "terms_b"), F.lit(0.0), lambda s, t: s - t["order"])
+    return both.select("v_a", "v_b", (dot / F.sqrt(F.col("norm_a") * F.col("norm_b"))).alias("cosine"), "hash_a", "hash_b", "x_a", "x_b").where(F.col("cosine") >= THRESHOLD)
+
+
+def agreeing(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """``v_a``, ``v_b``, ``by_hash``: vectors of ``asked`` and ``known`` that are the same picture (see :func:`features`)."""
+    full = cut(weighed(cut(_vectors(asked, 0).unionByName(_vectors(known, 1)))))
+    near = F.forall(F.arrays_zip(F.col("x_a").alias("p"), F.col("x_b").alias("q")), lambda z: F.abs(z["p"] - z["q"]) <= _REACH)
+    same = F.coalesce(F.col("hash_a") == F.col("hash_b"), F.lit(False))
+    return vector_pairs(full).where(same | F.coalesce(near, F.lit(False))).select("v_a", "v_b", same.alias("by_hash"))
+
+
+def _members(rows: DataFrame, s: str) -> DataFrame:
+    """``id``, ``hash`` and ``v`` of each record's vectors, named with the suffix ``s``."""
+    return rows.select(F.col("id").alias(f"id_{s}"), F.col("hash").alias(f"hash_{s}"), F.explode(F.array_compact(F.array(_name("hash"), _name("x")))).alias(f"v_{s}"))
 
 
 def overlaps(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """``id_a``, ``id_b``: records of ``asked`` and ``known`` that hold the same picture (see :func:`features`)."""
+    """``id_a``, ``id_b``: records of ``asked`` and ``known`` that hold the same picture (see :func:`features`).
+
+    Records with the same hash meet by it alone, so no pair is made twice.
+    """
     asked, known = cut(asked), cut(known)
-    a, b = cut(_vectors(asked)), cut(_vectors(known))
-    pairs = vector_pairs(a, b)
-    points = lambda df, s: df.select(F.col("v").alias(f"v_{s}"), F.col("x").alias(f"x_{s}"))
-    # The kinds of vector never meet: a hash is no grid cell.
-    near = F.forall(F.arrays_zip(F.col("x_a").alias("p"), F.col("x_b").alias("q")), lambda z: F.abs(z["p"] - z["q"]) <= _REACH)
-    agreed = pairs.join(points(a, "a"), "v_a").join(points(b, "b"), "v_b").where(F.col("x_a").isNull() | near).select("v_a", "v_b")
-    named = lambda df, s: df.select(F.col("id").alias(f"id_{s}"), F.explode(F.array_compact(F.array(F.md5("hash"), F.md5(F.to_json("x"))))).alias(f"v_{s}"))
-    return agreed.join(named(asked, "a"), "v_a").join(named(known, "b"), "v_b").select("id_a", "id_b").distinct()
+    pairs = cut(agreeing(asked, known))
+    met = pairs.join(_members(asked, "a"), "v_a").join(_members(known, "b"), "v_b")
+    once_only = F.col("by_hash") | F.coalesce(F.col("hash_a") != F.col("hash_b"), F.lit(True))
+    return met.where(once_only).select("id_a", "id_b")
+
+
+def linked(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """``id``, ``class_id``, ``links`` of every record of ``asked``: no pair of records is made.
+
+    A class is the records with the same hash and measures, named by its smallest id;
+    ``links`` is the number of records of ``known`` with the same picture.
+    """
+    asked, known = cut(asked), cut(known)
+    pairs = agreeing(asked, known)
+    classes = cut(asked.groupBy("hash", "x").agg(F.min("id").alias("class_id")))
+    held = _members(known, "b").groupBy("v_b", "hash_b").agg(F.count("*").alias("n"))
+    counted = pairs.join(held.groupBy("v_b").agg(F.sum("n").alias("n")), "v_b")
+    by_class = _members(classes.withColumnRenamed("class_id", "id"), "a").join(counted, "v_a")
+    # Of those met by measures, the ones with the same hash are met by it already.
+    same = held.select("v_b", F.col("hash_b").alias("hash_a"), F.col("n").alias("same"))
+    netted = by_class.join(same, ["v_b", "hash_a"], "left")
+    links = F.col("n") - F.when(F.col("by_hash"), 0).otherwise(F.coalesce("same", F.lit(0)))
+    total = netted.groupBy(F.col("id_a").alias("class_id")).agg(F.sum(links).alias("links"))
+    named = classes.join(total, "class_id", "left").select(F.col("hash").alias("h"), F.col("x").alias("y"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return asked.join(named, F.equal_null("hash", "h") & F.equal_null("x", "y")).select("id", "class_id", "links")
+
+
+def _sides(manifest: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    training = features(pool, "candidate_id", "pool_split").where(label_key(F.col("pool_split")) == "train").drop("pool_split")
+    return features(manifest, "test_id"), training
 
 
 def found(manifest: DataFrame, pool: DataFrame) -> DataFrame:
     """``test_id``, ``candidate_id`` of pictures that lie in the training rows of the pool."""
-    training = features(pool, "candidate_id", "pool_split").where(label_key(F.col("pool_split")) == "train").drop("pool_split")
-    return overlaps(features(manifest, "test_id"), training).select(F.col("id_a").alias("test_id"), F.col("id_b").alias("candidate_id"))
+    return overlaps(*_sides(manifest, pool)).select(F.col("id_a").alias("test_id"), F.col("id_b").alias("candidate_id"))
+
+
+def links(manifest: DataFrame, pool: DataFrame) -> DataFrame:
+    """``test_id``, ``class_id``, ``links`` of every record of the manifest (see :func:`linked`)."""
+    return linked(*_sides(manifest, pool)).withColumnRenamed("id", "test_id")
 
 
-def report(pairs: DataFrame, manifest: DataFrame, splits: DataFrame) -> DataFrame:
-    """``split``, ``source``, ``records``, ``overlapping``, ``pairs``: overlaps counted per evaluation split and source."""
+def report(counted: DataFrame, manifest: DataFrame, splits: DataFrame) -> DataFrame:
+    """From :func:`links`: ``split``, ``source``, ``records``, ``overlapping``, ``pairs``: overlaps counted per evaluation split and source."""
     source = F.coalesce(F.nullif(F.regexp_extract("source_file", r"^(.*)/[^/]*$", 1), F.lit("")), F.lit(""))
     records = once(manifest, "test_id", "source_file").select("test_id", source.alias("source"))
     split = once(splits.withColumn("split", label_key(F.col("kie_split"))), "test_id", "split")
-    counted = pairs.groupBy("test_id").agg(F.count("*").alias("n"))
-    rows = records.join(split, "test_id", "left").join(counted, "test_id", "left")
+    held = counted.select("test_id", F.nullif("links", F.lit(0)).alias("n"))
+    rows = records.join(split, "test_id", "left").join(held, "test_id", "left")
     return rows.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
