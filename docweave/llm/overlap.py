@@ -40,7 +40,7 @@ MEASURES = ["brightness", "contrast", "sharpness", "illumination_range"]
 #: Relative difference up to which measures and ratios agree.
 TOLERANCE = 0.01
 #: Shifted grids, each as wide as the tolerance times their number, and coordinates of a point.
-GRIDS, SIDES = 12, 5
+GRIDS, SIDES = 8, 5
 _REACH = -math.log(1 - TOLERANCE) + 1e-9
 _SHIFT = _REACH * (1 + 1e-6)
 #: Bounds of a squared weight.
@@ -87,18 +87,18 @@ def _terms() -> Column:
 
 
 def weighed(vectors: DataFrame) -> DataFrame:
-    """``vectors`` with ``terms``, rarest first, and their squared ``norm``.
+    """``side``, ``v``, ``terms``, rarest first, and their squared ``norm``, of each vector.
 
     A term is ``(order, term)``; ``order`` is its squared weight, negative so that arrays sort
     from the rarest term.
     """
-    postings = vectors.select("side", "v", "hash", "x", F.explode(_terms()).alias("term"))
+    postings = vectors.select("side", "v", F.explode(_terms()).alias("term"))
     held = postings.groupBy("term").agg(F.sum("side").alias("n"))
     weight = LIGHT + (HEAVY - LIGHT) / (1 + F.ln(F.greatest("n", F.lit(1)).cast("double")))
     weights = held.select("term", F.negate(weight).alias("order"))
     entries = F.array_sort(F.collect_list(F.struct("order", "term")))
     joined = postings.join(weights, "term")
-    return joined.groupBy("side", "v").agg(F.first("hash").alias("hash"), F.first("x").alias("x"), entries.alias("terms"), F.negate(F.sum("order")).alias("norm"))
+    return joined.groupBy("side", "v").agg(entries.alias("terms"), F.negate(F.sum("order")).alias("norm"))
 
 
 def _leading() -> Column:
@@ -108,7 +108,7 @@ def _leading() -> Column:
     asks for: by the largest weights they can meet (they count once, the other norm is at
     least that of a vector of light terms), or by their residual norm.
     """
-    least = F.when(F.col("hash").isNotNull(), LIGHT).otherwise(GRIDS * LIGHT)
+    least = F.size("terms") * LIGHT
     enough = F.greatest(THRESHOLD * F.sqrt(F.col("norm") * least), THRESHOLD**2 * F.col("norm"))
 
     def rest(i: Column) -> Column:
@@ -126,19 +126,21 @@ def candidates(full: DataFrame) -> DataFrame:
 
 
 def vector_pairs(full: DataFrame) -> DataFrame:
-    """``v_a``, ``v_b``, ``cosine`` and both points of the candidates at the threshold."""
-    side = lambda n, s: full.where(F.col("side") == n).select(*[F.col(c).alias(f"{c}_{s}") for c in ("v", "hash", "x", "terms", "norm")])
+    """``v_a``, ``v_b``, ``cosine`` of the candidates at the threshold."""
+    side = lambda n, s: full.where(F.col("side") == n).select(*[F.col(c).alias(f"{c}_{s}") for c in ("v", "terms", "norm")])
     both = candidates(full).join(side(0, "a"), "v_a").join(side(1, "b"), "v_b")
     dot = F.aggregate(F.array_intersect("terms_a", "terms_b"), F.lit(0.0), lambda s, t: s - t["order"])
-    return both.select("v_a", "v_b", (dot / F.sqrt(F.col("norm_a") * F.col("norm_b"))).alias("cosine"), "hash_a", "hash_b", "x_a", "x_b").where(F.col("cosine") >= THRESHOLD)
+    return both.select("v_a", "v_b", (dot / F.sqrt(F.col("norm_a") * F.col("norm_b"))).alias("cosine")).where(F.col("cosine") >= THRESHOLD)
 
 
 def agreeing(asked: DataFrame, known: DataFrame) -> DataFrame:
     """``v_a``, ``v_b``, ``by_hash``: vectors of ``asked`` and ``known`` that are the same picture (see :func:`features`)."""
-    full = cut(weighed(cut(_vectors(asked, 0).unionByName(_vectors(known, 1)))))
+    vectors = cut(_vectors(asked, 0).unionByName(_vectors(known, 1)))
+    value = lambda n, s: vectors.where(F.col("side") == n).select(*[F.col(c).alias(f"{c}_{s}") for c in ("v", "hash", "x")])
     near = F.forall(F.arrays_zip(F.col("x_a").alias("p"), F.col("x_b").alias("q")), lambda z: F.abs(z["p"] - z["q"]) <= _REACH)
     same = F.coalesce(F.col("hash_a") == F.col("hash_b"), F.lit(False))
-    return vector_pairs(full).where(same | F.coalesce(near, F.lit(False))).select("v_a", "v_b", same.alias("by_hash"))
+    pairs = vector_pairs(cut(weighed(vectors))).join(value(0, "a"), "v_a").join(value(1, "b"), "v_b")
+    return pairs.where(same | F.coalesce(near, F.lit(False))).select("v_a", "v_b", same.alias("by_hash"))
 
 
 def _members(rows: DataFrame, s: str) -> DataFrame:

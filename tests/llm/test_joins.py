@@ -82,7 +82,23 @@ def test_overlaps_against_all_pairs(spark):
     asked = [*manifest, manifest[0], ("N3", None, None, None, None, None, None, None, "i", "v")]
     clean = lambda s: s and s.strip().lower().replace("sha256=", "")
     expected = {(a[0], b[0]) for a in manifest for b in pool if b[0] and (b[10] or "").strip().lower() == "train" and (clean(b[1]) == a[1] or (b[7] and b[5] and b[4] and agree(a, b)))}
-    assert rows(overlap.found(spark.createDataFrame(asked, MANIFEST), spark.createDataFrame(pool, POOL))) == expected and len(expected) > 100
+    tables = spark.createDataFrame(asked, MANIFEST), spark.createDataFrame(pool, POOL)
+    assert rows(overlap.found(*tables)) == expected and len(expected) > 100
+    counted = {r["test_id"]: r["links"] for r in overlap.links(*tables).collect()}
+    assert counted == {t: sum(a == t for a, _ in expected) for t in {a[0] for a in asked}}
+
+
+def test_agreeing_vectors_reach_the_threshold(spark):
+    """At the edge of the tolerance in every coordinate, wherever the points lie, and in both directions."""
+    draw, data = random.Random(8), []
+    for i in range(300):
+        x = [draw.uniform(0, 6) for _ in range(5)]
+        data.append((i, None, x, 0))
+        data.append((i, None, [v + draw.choice([-1, 1]) * (overlap._REACH - 1e-12) for v in x], 1))
+    vectors = spark.createDataFrame(data, "v long, hash string, x array<double>, side int")
+    found = {(r["v_a"], r["v_b"]): r["cosine"] for r in overlap.vector_pairs(overlap.weighed(vectors)).collect()}
+    assert all(found.get((i, i), 0) >= overlap.THRESHOLD for i in range(300))
+    assert len(found) < 3000
 
 
 def test_copies_and_empty(spark):
