@@ -136,6 +136,16 @@ def _keys(name: Column) -> Column:
     return F.array_distinct(F.transform(forms, lambda x: F.xxhash64(x)))
 
 
+def _halves(name: Column) -> Column:
+    """Hashes of a name's first and last halves: names one edit or one swap apart share one.
+
+    Fewer than :func:`_keys` and less telling, for names of one district.
+    """
+    half = F.array_distinct(F.array(F.floor((F.length(name) - 1) / 2), F.floor(F.length(name) / 2)).cast("array<int>"))
+    forms = F.transform(half, lambda h: F.array(F.xxhash64(F.lit("first"), F.substring(name, F.lit(1), h)), F.xxhash64(F.lit("last"), F.right(name, h))))
+    return F.array_distinct(F.concat(F.array(F.xxhash64(name)), F.when(F.length(name) >= 5, F.flatten(forms)).otherwise(F.array().cast("array<bigint>"))))
+
+
 def _follow(links: DataFrame, within: list[str], name: str) -> DataFrame:
     """``within``, ``name``, ``canonical``: the end of each chain of ``name`` to ``next`` links, of any length.
 
@@ -158,17 +168,18 @@ def _cluster(spellings: DataFrame, within: list[str], name: str, seen: DataFrame
     two spellings of which one is seen at a single house, which is one of the other's, may
     be two edits apart.
     """
-    keyed = spellings.select(*within, name, "n", F.explode(_keys(F.col(name))).alias("k"))
+    keyed = spellings.select(*within, name, "n", F.explode(_halves(F.col(name))).alias("k"))
     other = keyed.select(*within, F.col(name).alias("other"), F.col("n").alias("m"), "k")
     more = F.struct("m", "other") > F.struct("n", F.col(name).alias("other"))
     pairs = keyed.join(other, [*within, "k"]).where(more & near(F.col(name), F.col("other"))).select(*within, name, "m", "other")
     if seen is not None:
         single = seen.groupBy(*within, name).agg(F.count("*").alias("houses"))
-        at = spellings.join(single, [*within, name]).join(seen, [*within, name]).select(*within, name, "n", "houses", "house", F.explode(_keys(F.col(name))).alias("k"))
-        close = at.select(*within, "house", "k", F.col(name).alias("other"), F.col("n").alias("m"), F.col("houses").alias("other_houses"))
-        long = F.least(F.length(name), F.length("other")) >= 8
-        two = long & (F.least("houses", "other_houses") == 1) & (F.levenshtein(F.col(name), F.col("other"), 2) >= 0)
-        pairs = pairs.union(at.join(close, [*within, "house", "k"]).where(more & two).select(*within, name, "m", "other"))
+        at = spellings.join(single, [*within, name]).join(seen, [*within, name]).select(*within, name, "n", "houses", "house")
+        # Those seen at one house meet the spellings of their district at that house.
+        lone = at.where("houses = 1").drop("houses")
+        close = at.select(*within, "house", F.col(name).alias("other"), F.col("n").alias("m"))
+        two = (F.least(F.length(name), F.length("other")) >= 8) & (F.levenshtein(F.col(name), F.col("other"), 2) >= 0)
+        pairs = pairs.union(lone.join(close, [*within, "house"]).where(more & two).select(*within, name, "m", "other"))
     best = pairs.groupBy(*within, name).agg(F.max(F.struct("m", "other"))["other"].alias("next"))
     return spellings.select(*within, name).join(_follow(best, within, name), [*within, name], "left").withColumn("canonical", F.coalesce("canonical", name))
 

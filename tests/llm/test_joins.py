@@ -48,6 +48,22 @@ def test_locality_beyond_eight_of_a_street(spark):
     assert rows(found) == {("by ward", last), ("by loose ward", last), ("by district", last), ("by both, street one edit away", "c12|d12|lactrb"), ("by house", last)}
 
 
+def test_unresolved_addresses_keep_their_city(spark):
+    """Wards of the same name stand in many cities; a missing part is taken from one partner only."""
+    two = ["12 Lê Lợi, Phường 1, TP Đà Lạt", "12 Lê Lợi, Phường 1, TP Vũng Tàu", "12 Lê Lợi, Phường 1"]
+    assert addresses.same_location(located(spark, two)).count() == 0
+    one = ["12 Lê Lợi, Phường 1, TP Đà Lạt", "12 Lê Lợi, P. 1", "14 Lê Lợi, P. 1", "12 Lê Lợi, P. 2, TP Đà Lạt"]
+    assert rows(addresses.same_location(located(spark, one))) == {("r00", "r01")}
+
+
+def test_spellings_of_one_street(spark):
+    """A chain of spellings, and two different typos at one house without the right spelling."""
+    at = lambda n, street: f"Số {n}, Đường {street}, Phường 1, Quận 5, Thành phố Sậy Gốm"
+    chain = [at(7, "Kiều Tâm Sậy"), at(7, "Kiều Tâm Sậyx"), at(7, "Kiều Tâm Sậyxx"), at(9, "Lạc Tra Hi"), at(9, "Lc Trà Hải"), at(9, "Quế Lụa Vân")]
+    found = rows(addresses.same_location(located(spark, chain)))
+    assert found == {("r00", "r01"), ("r00", "r02"), ("r01", "r02"), ("r03", "r04")}
+
+
 def test_no_addresses(spark):
     assert addresses.same_location(located(spark, [])).count() == 0
 
