@@ -2,12 +2,17 @@
 
 1. *Schema graph.*  Every record's own schema is computed in the JVM
    (``schema_of_variant``), distinct schemas are turned into edges on the executors, and
-   only the distinct edges - bounded by the schema, not by the data - reach the driver.
+   only the distinct edges reach the driver.  Member names that are data are folded to one
+   wildcard there, so the edges are bounded by the schema: names that look like ids
+   (:data:`ID_NAME`) and all members of an object with more than ``WIDE`` of them.  More
+   than ``EDGES`` different edges are an error, not a cut.
 2. *Analysis.*  Objects are grouped into element types: equal element names, or key
    sets that are alike.  An element type becomes a table if it is the root, stands in an
    array, is shared by several parents, or is recursive; every other object is a singleton
    descendant and is inlined as columns of the table above it.  Leaves that repeat, or
    that are a scalar in some records and an array in others, become value tables.
+   The payload may be parsed beforehand (:func:`documents`), so that the graph and all tables
+   share one parse.
 3. *Population.*  A table's rows come from one pass over the parsed record: the arrays
    along each of its root paths are expanded inside the row and exploded once.  Each row
    gets ``node_id`` (record id and steps) and the foreign key ``parent_id``, the
@@ -27,13 +32,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 EACH = "[]"
 ANY = "*"
 Path = tuple[str, ...]
+#: Names with four digits or more, or a long run of hexadecimal digits, are data.
+ID_NAME = re.compile(r"(?:.*\d){4}|.*[0-9a-fA-F-]{16}")
+#: Members from which an object is a map, and most different edges of a collection.
+WIDE, EDGES = 64, 50_000
 
 
 def parsed(col: Column) -> Column:
@@ -42,6 +54,19 @@ def parsed(col: Column) -> Column:
     return F.coalesce(F.try_parse_json(F.try_variant_get(outer, "$", "string")), outer)
 
 
+def documents(df: DataFrame, payload: str) -> DataFrame:
+    """``df`` with ``payload`` parsed, without the rows whose payload cannot be read.
+
+    The parsed value is put behind an explode so that it is computed once a row.
+    """
+    others = [c for c in df.columns if c != payload]
+    return df.select(*others, F.explode(F.array(parsed(F.col(payload)))).alias(payload)).where(F.col(payload).isNotNull())
+
+
+def _parsed_once(df: DataFrame, payload: str) -> DataFrame:
+    return df if isinstance(df.schema[payload].dataType, VariantType) else documents(df, payload)
+
+
 def _read_type(text: str, at: int) -> tuple[dict | list | str, int]:
     """A ``schema_of_variant`` type from position ``at``: dict, one-element list or scalar name."""
     if text.startswith("OBJECT<", at):
@@ -70,8 +95,9 @@ def _read_type(text: str, at: int) -> tuple[dict | list | str, int]:
 def _edges(shape: dict | list | str, path: Path) -> Iterator[tuple[Path, str]]:
     if isinstance(shape, dict):
         yield path, "object"
+        wide = len(shape) > WIDE
         for name, inner in shape.items():
-            yield from _edges(inner, (*path, name))
+            yield from _edges(inner, (*path, ANY if wide or ID_NAME.fullmatch(name) else name))
     elif isinstance(shape, list):
         yield path, "array"
         yield from _edges(shape[0], (*path, EACH))
@@ -113,8 +139,10 @@ def infer(df: DataFrame, payload: str, alike: float = 0.6, least: int = 4) -> Sc
     Objects whose key sets have a Jaccard similarity of ``alike`` and at least ``least``
     keys together are one element type, whatever they are called.
     """
-    shapes = df.select(F.schema_of_variant(parsed(F.col(payload))).alias("shape")).where("shape is not null").groupBy("shape").count()
-    found = shapes.select("shape").mapInPandas(_edge_batches, "path string, kind string").distinct().collect()
+    shapes = _parsed_once(df.select(payload), payload).select(F.schema_of_variant(payload).alias("shape")).distinct()
+    found = shapes.mapInPandas(_edge_batches, "path string, kind string").distinct().limit(EDGES + 1).collect()
+    if len(found) > EDGES:
+        raise ValueError(f"more than {EDGES} different paths: member names are data that does not look like ids")
     kinds: dict[Path, set[str]] = defaultdict(set)
     for row in found:
         kinds[tuple(row["path"].split("\x1f")) if row["path"] else ()].add(row["kind"])
@@ -122,7 +150,11 @@ def infer(df: DataFrame, payload: str, alike: float = 0.6, least: int = 4) -> Sc
 
 
 def _relations(kinds: dict[Path, set[str]], alike: float, least: int) -> dict[str, Relation]:
-    objects = {p: {q[-1] for q in kinds if len(q) == len(p) + 1 and q[: len(p)] == p and q[-1] != EACH} for p, k in kinds.items() if "object" in k}
+    members_of: dict[Path, set[str]] = defaultdict(set)
+    for q in kinds:
+        if q and q[-1] != EACH:
+            members_of[q[:-1]].add(q[-1])
+    objects = {p: members_of[p] for p, k in kinds.items() if "object" in k}
     parent = {p: p for p in objects}
 
     def root(p: Path) -> Path:
@@ -164,6 +196,12 @@ def _relations(kinds: dict[Path, set[str]], alike: float, least: int) -> dict[st
     for path, kind in sorted(kinds.items()):
         if not path or path[-1] == EACH or not kind & {"scalar", "array"}:
             continue
+        if path[-1] == ANY and "scalar" in kind:  # a map of scalars
+            name = f"{next((x for x in reversed(path) if x not in (EACH, ANY)), 'document')}_values"
+            values = relations.setdefault(name, Relation(name, values=True))
+            above = next(path[:n] for n in range(len(path) - 1, -1, -1) if path[:n] in owner)
+            values.paths = sorted({*values.paths, *((*p, *path[len(above) :]) for p in owner[above].paths)})
+            continue
         above = next(path[:n] for n in range(len(path) - 1, -1, -1) if path[:n] in owner)
         rest = path[len(above) :]
         if "array" in kind and "scalar" in kinds.get((*path, EACH), set()):
@@ -182,11 +220,11 @@ def _covers(pattern: Path, path: Path) -> bool:
 
 
 def _widen(members: list[Path]) -> list[Path]:
-    """Three or more sibling members of one type written as one path with a wildcard key."""
+    """Three or more sibling members of one type, or any beside a wildcard, written as one path with a wildcard key."""
     groups: dict[Path, list[Path]] = defaultdict(list)
     for p in members:
         groups[p if p[-1:] in ((), (EACH,)) else p[:-1]].append(p)
-    return sorted({(*above, ANY) if len(group) > 2 else p for above, group in groups.items() for p in group})
+    return sorted({(*above, ANY) if len(group) > 2 or (*above, ANY) in group else p for above, group in groups.items() for p in group})
 
 
 def _member(node: Column, name: str) -> Column:
@@ -230,8 +268,7 @@ def populate(df: DataFrame, graph: SchemaGraph, name: str, record: str, payload:
     them: the row itself, else the one above it and so on.
     """
     relation, inherit = graph.relations[name], inherit or []
-    # The parsed value is put behind an explode so that it is computed once a row.
-    rows = df.select(F.col(record).alias("record"), F.explode(F.array(parsed(F.col(payload)))).alias("root")).where("root is not null")
+    rows = _parsed_once(df.select(record, payload), payload).select(F.col(record).alias("record"), F.col(payload).alias("root"))
     taken: dict[Path, str] = {}
     near: dict[Path, dict[str, list[int | Column]]] = {}
     for path in relation.paths:

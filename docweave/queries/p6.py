@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.operators import shred
-from docweave.session import spread
+from docweave.session import cut, spread
 from docweave.sources.tables import table
 
 #: Names of the parts of a result payload that hold lines and tax groups.
 SECTIONS = {"line_items": "line", "tax_breakdown": "tax", "fields": "header"}
 
 
-def _runs(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    return spread(table(spark, folder, "machine_runs").where(F.col("kind") == kind).select("run_id", "payload"))
+def _runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs with their payload parsed, once for all tables."""
+    rows = table(spark, folder, "machine_runs").where(F.col("kind").isin("ocr", "kie")).select("run_id", "kind", "payload")
+    return cut(shred.documents(spread(rows), "payload"))
+
+
+def _of(runs: DataFrame, kind: str) -> DataFrame:
+    return runs.where(F.col("kind") == kind).select("run_id", "payload")
 
 
 def _section() -> F.Column:
@@ -50,13 +56,14 @@ def _all(df: DataFrame, graph: shred.SchemaGraph, names: list[str], inherit: lis
     return made
 
 
-def blocks(spark: SparkSession, folder: str) -> DataFrame:
+def blocks_of(runs: DataFrame) -> DataFrame:
     """One row for each block of an evidence run: ``ocr_run_id``, ``page_index``, ``block_id`` and its text.
 
     The page is the payload's ``page_index``, else the page's position, 0 without pages;
-    repeated deliveries of a run give their blocks once.
+    repeated deliveries of a run give their blocks once, each whole (the smallest by text,
+    confidence and order where deliveries differ).
     """
-    runs = _runs(spark, folder, "ocr")
+    runs = _of(runs, "ocr")
     graph = shred.infer(runs, "payload")
     found = _all(runs, graph, _table_of(graph, "block_id"), ["ocr_run_id", "page_index", "block_id"], "text", "confidence", "reading_order")
     position = F.try_element_at("steps", (F.array_position("steps", "pages") + 1).cast("int"))
@@ -67,21 +74,22 @@ def blocks(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce("ocr_run_id", "record").alias("ocr_run_id"), page.alias("page_index"), "block_id",
         text.alias("text"), F.expr("try_cast(confidence as double)").alias("confidence"), F.expr("try_cast(reading_order as int)").alias("reading_order"),
     )
-    return made.groupBy("ocr_run_id", "page_index", "block_id").agg(F.min("text").alias("text"), F.min("confidence").alias("confidence"), F.min("reading_order").alias("reading_order"))
+    best = made.groupBy("ocr_run_id", "page_index", "block_id").agg(F.min(F.struct("text", "confidence", "reading_order")).alias("b"))
+    return best.select("ocr_run_id", "page_index", "block_id", "b.*")
 
 
-def cells(spark: SparkSession, folder: str) -> DataFrame:
+def cells_of(runs: DataFrame) -> DataFrame:
     """One row for each cell of a result: section, row and field with the value's JSON text kept."""
-    runs = _runs(spark, folder, "kie")
+    runs = _of(runs, "kie")
     graph = shred.infer(runs, "payload")
     found = _all(runs, graph, _table_of(graph, "normalized_value"), ["kie_run_id", "source_ocr_run_id", "line_id", "field_name"], "raw_text", "predicted_value", "normalized_value", "value_status")
     keyed = found.withColumn("section", _section()).withColumn("field", F.coalesce("field_name", F.element_at("steps", -1))).withColumn("row_id", _row_id())
     return keyed.select(F.coalesce("kie_run_id", "record").alias("kie_run_id"), "source_ocr_run_id", "section", "row_id", "field", "raw_text", "predicted_value", "normalized_value", "value_status").distinct()
 
 
-def citations(spark: SparkSession, folder: str) -> DataFrame:
+def citations_of(runs: DataFrame) -> DataFrame:
     """One row for each block id a cell or a line cites, with the run that is cited."""
-    runs = _runs(spark, folder, "kie")
+    runs = _of(runs, "kie")
     graph = shred.infer(runs, "payload")
     found = _all(runs, graph, _table_of(graph, "source_block_ids", values=True), ["kie_run_id", "source_ocr_run_id", "line_id", "field_name"], "value")
     # .../<cell>/source_block_ids, or .../<position>/source_block_ids for a row's own ids
@@ -91,11 +99,23 @@ def citations(spark: SparkSession, folder: str) -> DataFrame:
     return named.select(F.coalesce("kie_run_id", "record").alias("kie_run_id"), "source_ocr_run_id", "section", "row_id", "field", F.col("value").alias("block_id")).distinct()
 
 
-def found(spark: SparkSession, folder: str) -> DataFrame:
+def found_of(runs: DataFrame) -> DataFrame:
     """Citations whose block exists in the evidence of the run that the payload names."""
-    known = blocks(spark, folder).select("ocr_run_id", "page_index", "block_id")
-    cited = citations(spark, folder).withColumnRenamed("source_ocr_run_id", "ocr_run_id")
+    known = blocks_of(runs).select("ocr_run_id", "page_index", "block_id").distinct()
+    cited = citations_of(runs).withColumnRenamed("source_ocr_run_id", "ocr_run_id")
     return cited.join(known, ["ocr_run_id", "block_id"]).select("kie_run_id", "section", "row_id", "field", "ocr_run_id", "page_index", "block_id")
 
 
+def blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return blocks_of(_runs(spark, folder))
+
+
+def cells(spark: SparkSession, folder: str) -> DataFrame:
+    return cells_of(_runs(spark, folder))
+
+
+def found(spark: SparkSession, folder: str) -> DataFrame:
+    return found_of(_runs(spark, folder))
+
+
 QUERIES = {"p6_blocks": blocks, "p6_cells": cells, "p6_found": found}
