@@ -105,12 +105,44 @@ def _edges(shape: dict | list | str, path: Path) -> Iterator[tuple[Path, str]]:
         yield path, "scalar"
 
 
+_TOKEN = re.compile(r"(OBJECT<|ARRAY<)|(>)|(?:`([^`]*)`|([^`<>,: ()][^`<>,:()]*)):|([A-Z_]+(?:\(\d+,\d+\))?)")
+
+
+def _scan(text: str, seen: set[tuple[str, str]]) -> bool:
+    """Adds the edges of a type to ``seen`` in one pass over its tokens; false if an object is a map and needs :func:`_edges`."""
+    frames: list[list] = []
+    at = ""
+    for token in _TOKEN.finditer(text):
+        opens, closes, quoted, plain, scalar = token.groups()
+        if scalar:
+            if scalar not in ("VOID", "VARIANT"):
+                seen.add((at, "scalar"))
+        elif opens:
+            seen.add((at, "object" if opens[0] == "O" else "array"))
+            frames.append([at, 0])
+            if opens[0] == "A":
+                at = f"{at}\x1f{EACH}" if at else EACH
+        elif closes:
+            at = frames.pop()[0]
+        else:
+            frame = frames[-1]
+            frame[1] += 1
+            if frame[1] > WIDE:
+                return False
+            name = plain if quoted is None else quoted
+            name = ANY if ID_NAME.fullmatch(name) else name
+            at = f"{frame[0]}\x1f{name}" if frame[0] else name
+    return True
+
+
 def _edge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: set[tuple[str, str]] = set()
     for batch in batches:
         for text in batch["shape"]:
-            if text is not None:
-                seen.update(("\x1f".join(path), kind) for path, kind in _edges(_read_type(text, 0)[0], ()))
+            own: set[tuple[str, str]] = set()
+            if not _scan(text, own):
+                own = {("\x1f".join(path), kind) for path, kind in _edges(_read_type(text, 0)[0], ())}
+            seen |= own
     yield pd.DataFrame(sorted(seen), columns=["path", "kind"])
 
 
@@ -164,7 +196,7 @@ def _relations(kinds: dict[Path, set[str]], alike: float, least: int) -> dict[st
         return p
 
     def element(p: Path) -> str:
-        return next((x for x in reversed(p) if x != EACH), "document")
+        return next((x for x in reversed(p) if x not in (EACH, ANY)), "document")
 
     def same(p: Path, q: Path) -> bool:
         a, b = objects[p], objects[q]
@@ -182,7 +214,7 @@ def _relations(kinds: dict[Path, set[str]], alike: float, least: int) -> dict[st
     owner: dict[Path, Relation] = {}
     for members in sorted(types.values(), key=lambda m: min((len(p), p) for p in m)):
         names = {element(p) for p in members}
-        repeated = any(p[-1:] == (EACH,) for p in members)
+        repeated = any(p[-1:] in ((EACH,), (ANY,)) for p in members)
         shared = len({p[: len(p) - (p[-1:] == (EACH,))] for p in members}) > 1
         recursive = any(p != q and q[: len(p)] == p for p in members for q in members)
         if () in members or repeated or shared or recursive:

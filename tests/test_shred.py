@@ -101,3 +101,16 @@ def test_against_tables(spark, small):
             for b in [ids] if isinstance(ids, str) else ids or []:
                 expected |= {(o["kie_run_id"], section, row, field, o["source_ocr_run_id"], i, x) for i, x in known.get(o["source_ocr_run_id"], ()) if x == b}
     assert rows(p6.found(spark, small)) == expected
+
+
+def test_maps_keyed_by_data_are_folded(spark):
+    """Ids as member names and wide objects give wildcard paths, so the graph does not grow with the rows."""
+    data = [(f"r{i}", json.dumps({"parts": {f"id-{i:05d}-{j}": {"name": f"n{j}", "qty": j} for j in range(2)}, "wide": {f"k{chr(97 + j // 26)}{chr(97 + j % 26)}": j for j in range(70)}})) for i in range(40)]
+    runs = spark.createDataFrame(data, "run_id string, payload string")
+    graph = shred.infer(runs, "payload")
+    assert len(graph.kinds) < 12 and ("parts", shred.ANY, "name") in graph.kinds
+    (name,) = [n for n, r in graph.relations.items() if "name" in r.columns]
+    found = shred.populate(runs, graph, name, "run_id", "payload").collect()
+    assert len(found) == 80 and {r["steps"][-1] for r in found if r["record"] == "r3"} == {"id-00003-0", "id-00003-1"}
+    values = shred.populate(runs, graph, "wide_values", "run_id", "payload")
+    assert values.count() == 40 * 70
