@@ -4,23 +4,31 @@ Texts that are already consistent are recognised by one pattern and never leave
 The others are cut into runs that need no change and clusters (a character with the marks
 and invisible characters after it); clusters are exploded to positioned code points, a
 broadcast join brings each code point's decomposition or look-alike, combining marks are
-put in order of their class, and each cluster is recomposed; then the text is rebuilt.
-Equal clusters are worked out once.
-
-What looks the same: canonical equivalents; full-width, half-width and other width or
-font variants; ligatures, letter-like numerals and the ellipsis sign, which look like the
-letters or dots they stand for; every kind of blank (not line ends); invisible format characters, which
-are left out; letters of other scripts that are drawn like a Latin one.  What does not:
-another accent, letter case, raised or lowered signs, ligatures, fractions, an ellipsis
-against three dots.
+put in order of their class, a second broadcast join brings what the starters compose to,
+and each cluster is recomposed; then the text is rebuilt.  Equal clusters are worked out
+once.
+
+Two forms come out.  The comparison form (``plain``) replaces every letter of another script
+that is drawn like a Latin one: texts that look the same have the same one.  The consistent
+text (``written``) replaces such letters only where they stand for Latin ones: in words that
+hold Latin letters and no letter that is only of the other script, and in words made of
+look-alikes alone if the text's letters are mostly Latin.  So Russian or Greek words stay
+what they are.
+
+What looks the same: canonical equivalents; full-width, half-width and other width or font
+variants; letters and numerals written in one sign (ligatures such as fi, Roman numerals)
+and the ellipsis sign, which look like the letters or dots they stand for; every kind of
+blank (not line ends); invisible format characters, which are left out; letters of other
+scripts that are drawn like a Latin one.  What does not: another accent, letter case,
+raised or lowered signs, fractions, any further visible sign.
 
 Defined results: null stays null, empty stays empty; blanks are not collapsed; the mapping
-table is built from the Unicode database, about 20,000 entries, whatever the data.
+table is built from the Unicode database, about 5,000 entries, and the compositions are
+about 400 families, whatever the data.
 """
 
 from __future__ import annotations
 
-import json
 import sys
 import unicodedata
 from functools import cache
@@ -31,14 +39,22 @@ from pyspark.sql import functions as F
 
 from docweave.session import cut
 
-# Letters and signs drawn alike, by the ASCII or Latin form they count as.
+# Letters of other scripts by the Latin letter they are drawn like: Cyrillic,
+# Greek, Armenian, Cherokee, Lisu and Coptic ones, and Latin doubles.
 LOOKALIKES = {
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ",
-    "Q": "Ԛ", "S": "Ѕ", "T": "ТΤ", "W": "Ԝ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
-    "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ", "o": "оο", "p": "р", "q": "ԛ", "s": "ѕ", "v": "ѵν",
-    "w": "ԝ", "x": "х", "y": "у", "l": "ӏ",
-    "Đ": "ÐƉ", "-": "‐‑", ";": ";", "...": "…",
+    "A": "АΑᎪꓮ", "B": "ВΒᏴꓐ", "C": "СϹᏟꓚⲤ", "D": "Ꭰꓓ", "E": "ЕΕᎬꓰ", "F": "ꓝ", "G": "Ꮐꓖ", "H": "НΗᎻꓧⲎ", "I": "ІΙӀꓲ", "J": "ЈͿᎫꓙ",
+    "K": "КΚᏦꓗⲔ", "L": "Ꮮꓡ", "M": "МΜᎷꓟⲘ", "N": "ΝꓠⲚ", "O": "ОΟՕꓳⲞ", "P": "РΡᏢꓑⲢ", "Q": "Ԛ", "R": "Ꭱꓣ", "S": "ЅՏᏚꓢ",
+    "T": "ТΤᎢꓔⲦ", "U": "Սꓴ", "V": "Ꮩꓦ", "W": "ԜᎳꓪ", "X": "ХΧꓫⲬ", "Y": "ҮΥꓬⲨ", "Z": "ΖᏃꓜ",
+    "a": "аɑ", "c": "сϲⲥ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօⲟ", "p": "рⲣ", "q": "ԛզ",
+    "s": "ѕ", "u": "ս", "v": "ѵν", "w": "ԝ", "x": "х", "y": "у", "Đ": "ÐƉ",
 }
+# Signs drawn alike.
+SIGNS = {"-": "‐‑", ";": ";", "...": "…"}
+#: Letters of scripts that hold look-alikes, as a Java pattern.
+OTHER_SCRIPT = r"[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}\p{IsCherokee}\p{IsLisu}\p{IsCoptic}]"
+LATIN = r"\p{IsLatin}"
+#: Words and what stands between them.
+WORDS = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+"
 #: Compatibility forms that look like their plain form.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>")
 #: Blanks that are drawn as a blank; line ends are no blanks here.
@@ -53,9 +69,9 @@ def _hidden(char: str) -> bool:
     return filler or selector or unicodedata.category(char) == "Cf" and not 0x0600 <= point <= 0x08FF
 
 
-def _plain(char: str) -> str:
-    """A code point's full decomposition with look-alikes replaced."""
-    if char in _REPLACED:
+def _plain(char: str, letters: bool = True) -> str:
+    """A code point's full decomposition with look-alikes replaced, or without look-alike ``letters``."""
+    if char in _REPLACED and (letters or char not in _LETTERS):
         return _REPLACED[char]
     if _hidden(char):
         return ""
@@ -67,10 +83,11 @@ def _plain(char: str) -> str:
     spelled = kind == "<compat" and char != "ſ" and all(chr(int(x, 16)) in ascii_letters for x in rest.split())
     if kind and f"{kind}>" not in SAME_LOOK and not spelled:
         return char
-    return "".join(_plain(chr(int(x, 16))) for x in rest.split())
+    return "".join(_plain(chr(int(x, 16)), letters) for x in rest.split())
 
 
-_REPLACED = {variant: plain for plain, variants in LOOKALIKES.items() for variant in variants}
+_LETTERS = {variant for variants in LOOKALIKES.values() for variant in variants}
+_REPLACED = {variant: plain for plain, variants in [*LOOKALIKES.items(), *SIGNS.items()] for variant in variants}
 # A replaced letter is decomposed like its plain form (none of them has a decomposition).
 
 
@@ -87,15 +104,16 @@ def mapping_rows() -> list[tuple[str, list[str], list[int]]]:
     return rows
 
 
-def composition_pairs() -> dict[str, str]:
-    """Base and mark to composed character, for all primary composites."""
-    pairs = {}
+def composition_families() -> dict[str, list[tuple[str, str]]]:
+    """By starter: all ``(base and mark, composed)`` that marks after it can lead to, of the primary composites."""
+    families: dict[str, list[tuple[str, str]]] = {}
     for point in range(sys.maxunicode + 1):
         char = chr(point)
         parts = unicodedata.decomposition(char)
         if parts and "<" not in parts and " " in parts and unicodedata.normalize("NFC", char) == char:
-            pairs["".join(chr(int(x, 16)) for x in parts.split())] = char
-    return pairs
+            pair = "".join(chr(int(x, 16)) for x in parts.split())
+            families.setdefault(unicodedata.normalize("NFD", char)[0], []).append((pair, char))
+    return families
 
 
 def _char_class(chars: list[str]) -> str:
@@ -125,7 +143,7 @@ def patterns() -> tuple[str, str, str]:
 
 
 def _recompose(parts: Column, table: Column) -> Column:
-    """Text from ``(char, class)`` parts in canonical order, composing what composes."""
+    """Text from ``(char, class)`` parts in canonical order, composing what ``table`` composes."""
     start = F.struct(F.lit("").alias("done"), F.lit("").alias("base"), F.lit("").alias("marks"), F.lit(0).alias("last"))
 
     def step(acc: Column, part: Column) -> Column:
@@ -142,22 +160,44 @@ def _recompose(parts: Column, table: Column) -> Column:
 
 
 def clusters(spark: SparkSession, distinct: DataFrame) -> DataFrame:
-    """``piece``, ``plain``: the consistent form of each distinct cluster."""
-    mapping = spark.createDataFrame(mapping_rows(), "cp string, parts array<string>, classes array<int>")
-    pairs = F.from_json(F.lit(json.dumps(composition_pairs())), "map<string,string>")  # folded to one constant
+    """``piece``, ``look``, ``kept``: each distinct cluster with look-alike letters replaced and kept."""
+    kept = lambda c: [(x, unicodedata.combining(x)) for x in _plain(c, letters=False)]
+    mapping = spark.createDataFrame([(c, list(zip(parts, classes, strict=True)), kept(c)) for c, parts, classes in mapping_rows()], "cp string, parts array<struct<c:string,k:int>>, same array<struct<c:string,k:int>>")
+    families = spark.createDataFrame([(c, f) for c, f in composition_families().items()], "char string, family array<struct<pair:string,composed:string>>")
     points = distinct.select("piece", F.posexplode(F.split("piece", "")).alias("pos", "cp"))
     met = points.join(F.broadcast(mapping), "cp", "left")
-    parts = F.coalesce("parts", F.array("cp")), F.coalesce("classes", F.array(F.lit(0)))
-    each = F.transform(F.arrays_zip(parts[0].alias("c"), parts[1].alias("k")), lambda x: F.struct(x["c"].alias("char"), x["k"].alias("class")))
-    whole = met.groupBy("piece").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", each.alias("parts")))), lambda x: x["parts"])).alias("parts"))
+    own = F.array(F.struct(F.col("cp").alias("c"), F.lit(0).alias("k")))
+    forms = F.array(F.struct(F.lit(True).alias("kept"), F.coalesce("same", own).alias("p")), F.struct(F.lit(False).alias("kept"), F.coalesce("parts", own).alias("p")))
+    spelled = met.select("piece", "pos", F.inline(forms)).select("piece", "kept", "pos", F.posexplode_outer("p").alias("i", "x"))
+    parts = spelled.select("piece", "kept", "pos", "i", F.col("x.c").alias("char"), F.col("x.k").alias("class"))
+    joined = parts.join(F.broadcast(families), "char", "left")
+    in_order = F.array_sort(F.collect_list(F.when(F.col("char").isNotNull(), F.struct("pos", "i", "char", "class"))))
+    whole = joined.groupBy("piece", "kept").agg(in_order.alias("parts"), F.flatten(F.collect_set("family")).alias("pairs"))
     # Canonical order: within the marks after a starter, by class and then by position.
-    ranked = F.transform("parts", lambda p, i: F.struct(F.size(F.filter(F.slice("parts", F.lit(1), i + 1), lambda q: q["class"] == 0)).alias("starter"), p["class"].alias("class"), i.alias("i"), p["char"].alias("char")))
-    ordered = F.array_sort(ranked)
-    return whole.withColumn("parts", ordered).select("piece", _recompose(F.col("parts"), pairs).alias("plain"))
+    starters = lambda i: F.size(F.filter(F.slice("parts", F.lit(1), i + 1), lambda q: q["class"] == 0))
+    ranked = F.transform("parts", lambda p, i: F.struct(starters(i).alias("starter"), p["class"].alias("class"), i.alias("i"), p["char"].alias("char")))
+    ordered = whole.withColumn("parts", F.array_sort(ranked)).withColumn("pairs", F.map_from_entries(F.array_distinct("pairs")))
+    made = ordered.select("piece", "kept", _recompose(F.col("parts"), F.col("pairs")).alias("text"))
+    return made.groupBy("piece").agg(F.max(F.when(~F.col("kept"), F.col("text"))).alias("look"), F.max(F.when(F.col("kept"), F.col("text"))).alias("kept"))
 
 
-def consistent(rows: DataFrame, text: str) -> DataFrame:
-    """``rows`` with ``plain``, the consistent form of ``text``.
+def _by_script(kept: Column, look: Column) -> Column:
+    """``kept`` with the look-alike letters replaced that stand for Latin ones; ``look`` has all replaced.
+
+    Replacing changes neither what is a word nor what stands between, so the words of both
+    are in step.
+    """
+    latin = F.regexp_count(kept, F.lit(LATIN)) > F.regexp_count(kept, F.lit(OTHER_SCRIPT))
+
+    def choose(a: Column, b: Column) -> Column:
+        return F.when(F.rlike(b, F.lit(OTHER_SCRIPT)), a).when(latin | F.rlike(a, F.lit(LATIN)), b).otherwise(a)
+
+    words = lambda t: F.regexp_extract_all(t, F.lit(WORDS), F.lit(0))
+    return F.when(kept == look, kept).otherwise(F.array_join(F.zip_with(words(kept), words(look), choose), ""))
+
+
+def both_forms(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``written``, the consistent text, and ``plain``, its comparison form.
 
     Only rows whose text may change are exploded, each different text once; the others
     keep their place and are not shuffled.
@@ -168,11 +208,21 @@ def consistent(rows: DataFrame, text: str) -> DataFrame:
     dirty = cut(rows.where(may_change).select(F.md5(text).alias("h"), F.col(text).alias("t")).distinct())
     pieces = dirty.select("h", F.posexplode(F.regexp_extract_all("t", F.lit(cutter), 0)).alias("at", "piece")).withColumn("odd", F.rlike("piece", F.lit(rare)) & F.rlike("piece", F.lit(odd)))
     forms = clusters(spark, pieces.where("odd").select("piece").distinct())
-    changed = pieces.where("odd").join(forms, "piece").select("h", "at", "plain")
-    kept = pieces.where("not odd").select("h", "at", F.col("piece").alias("plain"))
-    rebuilt = kept.union(changed).groupBy("h").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "plain"))), lambda x: x["plain"]), "").alias("plain"))
-    same = rows.where(~may_change).withColumn("plain", F.col(text))
-    return rows.where(may_change).withColumn("hash__", F.md5(text)).join(rebuilt.withColumnRenamed("h", "hash__"), "hash__").select(*rows.columns, "plain").unionByName(same)
+    changed = pieces.where("odd").join(forms, "piece").select("h", "at", "look", "kept")
+    same_piece = pieces.where("not odd").select("h", "at", F.col("piece").alias("look"), F.col("piece").alias("kept"))
+    joined = lambda c: F.array_join(F.transform("all", lambda x: x[c]), "")
+    rebuilt = same_piece.union(changed).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("at", "look", "kept"))).alias("all")).select("h", joined("look").alias("look"), joined("kept").alias("kept"))
+    scripted = rebuilt.select(F.col("h").alias("hash__"), _by_script(F.col("kept"), F.col("look")).alias("written__"), F.col("look").alias("plain__"))
+    rest = [c for c in rows.columns if c not in ("written", "plain")]
+    made = rows.where(may_change).withColumn("hash__", F.md5(text)).join(scripted, "hash__")
+    same = rows.where(~may_change).withColumn("written__", F.col(text)).withColumn("plain__", F.col(text))
+    out = [*rest, F.col("written__").alias("written"), F.col("plain__").alias("plain")]
+    return made.select(*out).unionByName(same.select(*out))
+
+
+def consistent(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``plain``, the comparison form of ``text``."""
+    return both_forms(rows, text).drop("written")
 
 
 def alike(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -182,7 +232,7 @@ def alike(rows: DataFrame, key: str, text: str) -> DataFrame:
     compared with each other.  Null texts and keys make no pair; repeated rows count once.
     """
     named = rows.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    plain = cut(consistent(named, "text").select("id", F.md5("text").alias("s"), F.md5("plain").alias("g")).distinct())
+    plain = cut(both_forms(named, "text").select("id", F.md5("text").alias("s"), F.md5("plain").alias("g")).distinct())
     spellings = plain.select("g", "s").distinct()
     mixed = spellings.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     known = spellings.join(mixed, "g")

@@ -35,7 +35,7 @@ def _texts(spark: SparkSession, folder: str) -> dict[str, tuple[DataFrame, str,
 
 
 def p2_consistent(spark: SparkSession, folder: str) -> DataFrame:
-    made = [canonical.consistent(rows.select(F.col(key).alias("id"), F.col(text).alias("text")), "text").select(F.lit(field).alias("field"), "id", "plain") for field, (rows, key, text) in _texts(spark, folder).items()]
+    made = [canonical.both_forms(rows.select(F.col(key).alias("id"), F.col(text).alias("text")), "text").select(F.lit(field).alias("field"), "id", "written", "plain") for field, (rows, key, text) in _texts(spark, folder).items()]
     return made[0].unionByName(made[1])
 
 

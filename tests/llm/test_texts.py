@@ -49,6 +49,17 @@ def test_consistent_form(spark, texts):
     assert {r["i"]: r["plain"] for r in canonical.consistent(df, "t").collect()} == {i: plain(t) for i, t in enumerate(texts)}
 
 
+def test_words_of_other_scripts_keep_their_letters(spark):
+    """Look-alikes are replaced where they stand for Latin letters only; the comparison form replaces them all."""
+    cases = [
+        ("Москва", "Москва"), ("сор рус", "сор рус"), ("Сумма: 12, оплата", "Сумма: 12, оплата"), ("νέος τόπος", "νέος τόπος"),  # not Latin
+        ("Hоа đơn", "Hoa đơn"), ("tổng СОА", "tổng COA"), ("Tоtаl of Москва рус and other words", "Total of Москва pyc and other words"), ("ꓢample Ꭺ", "Sample A"), ("Соса", "Соса"), ("Coca Соса cola", "Coca Coca cola"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r["i"]: (r["written"], r["plain"]) for r in canonical.both_forms(df, "t").collect()}
+    assert got == {i: (w, plain(t)) for i, (t, w) in enumerate(cases)}
+
+
 def test_consistent_keeps_rows_and_long_texts(spark):
     long = "ｘ" + "dài dòng " * 20_000
     df = spark.createDataFrame([(1, long, "z"), (2, None, "z"), (1, long, "z")], "i int, t string, h string")
