@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.text import collapse, fold
 
+# Names of rules and failures, month names, and the printed forms the rules below accept.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
@@ -72,11 +73,20 @@ def date(col: Column) -> Column:
     return _result(once(read, lambda d: F.when(F.try_to_date(d, "yyyy-MM-dd").isNotNull(), d)), "calendar_date", "AMBIGUOUS_FORMAT")
 
 
-def tax_id(col: Column) -> Column:
-    """Ten or thirteen digits, printed separators removed."""
+def tax_id(col: Column, foreign: Column | None = None) -> Column:
+    """Ten or thirteen digits, printed separators removed; five to twenty where ``foreign`` holds."""
     text = collapse(col)
     digits = F.regexp_replace(text, r"[ .\-]", "")
-    return _result(F.when(_full(text, r"[0-9 .\-]+") & F.length(digits).isin(10, 13), digits), "tax_id_printed_separators")
+    printed, own = _full(text, r"[0-9 .\-]+"), F.length(digits).isin(10, 13)
+    allowed = own if foreign is None else own | (F.coalesce(foreign, F.lit(False)) & F.length(digits).between(5, 20))
+    return _result(F.when(printed & allowed, digits), F.when(own, "tax_id_printed_separators").otherwise("foreign_printed_taxcode"))
+
+
+def money(col: Column, currency: Column) -> Column:
+    """An amount in the document's currency: dong, dollars with cents, and no guess for any other or an unknown one."""
+    unclear = lambda reason: F.struct(F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("rule"), F.lit(reason).alias("failure"))
+    dong, dollar = amount_vnd(col), amount_usd(col)
+    return F.when(currency == "VND", dong).when(currency == "USD", dollar).when(currency.isNull(), unclear("AMBIGUOUS_FORMAT")).otherwise(unclear("UNSUPPORTED_CURRENCY"))
 
 
 def identifier(col: Column) -> Column:
@@ -113,8 +123,16 @@ def address(col: Column) -> Column:
 
 
 #: Normaliser of each field.
-FIELDS = {"total_amount": amount_vnd, "subtotal": amount_vnd, "tax_amount": amount_vnd, "amount": amount_vnd, "unit_price": amount_vnd, "invoice_date": date, "receipt_date": date, "seller_tax_id": tax_id, "buyer_tax_id": tax_id,
-          "invoice_number": identifier, "invoice_symbol": identifier, "invoice_template_number": identifier, "invoice_id": identifier, "quantity": quantity, "rate": rate, "currency": currency, "seller_address": address, "merchant_address": address}
+FIELDS = {
+    **dict.fromkeys(("total_amount", "subtotal", "tax_amount", "taxable_amount", "amount", "unit_price"), amount_vnd),
+    **dict.fromkeys(("invoice_date", "receipt_date"), date),
+    **dict.fromkeys(("seller_tax_id", "buyer_tax_id"), tax_id),
+    **dict.fromkeys(("invoice_number", "invoice_symbol", "invoice_template_number", "invoice_id"), identifier),
+    **dict.fromkeys(("seller_address", "merchant_address"), address),
+    "quantity": quantity,
+    "rate": rate,
+    "currency": currency,
+}
 
 
 def name(col: Column) -> Column:
@@ -122,12 +140,23 @@ def name(col: Column) -> Column:
     return _result(F.nullif(collapse(col), F.lit("")), "nfc_whitespace")
 
 
-def normalized(df: DataFrame, field: str, value: str, into: str) -> DataFrame:
+def normalized(df: DataFrame, field: str, value: str, into: str, currency: str | None = None, raw: str | None = None) -> DataFrame:
     """``df`` with the struct of each field's normaliser in ``into``; unknown fields are names.
 
-    One branch for each normaliser keeps the generated code small; ``df`` should be cheap to read again.
+    With the column ``currency`` amounts are read in it (see :func:`money`), and with ``raw``,
+    the text a value stands in, tax codes of other countries are read in dollar documents;
+    without them amounts are dong.  One branch for each normaliser keeps the generated code
+    small; ``df`` should be cheap to read again.
     """
+
+    def read(kind: Callable[[Column], Column]) -> Column:
+        if kind is amount_vnd and currency:
+            return money(F.col(value), F.col(currency))
+        if kind is tax_id and currency and raw:
+            return tax_id(F.col(value), (F.col(currency) == "USD") & F.rlike(raw, F.lit(r"(?i)tax\s*code")))
+        return kind(F.col(value))
+
     kinds = list(dict.fromkeys(FIELDS.values()))
-    parts = [df.where(F.col(field).isin([f for f, k in FIELDS.items() if k is kind])).withColumn(into, kind(F.col(value))) for kind in kinds]
+    parts = [df.where(F.col(field).isin([f for f, k in FIELDS.items() if k is kind])).withColumn(into, read(kind)) for kind in kinds]
     parts.append(df.where(~F.col(field).isin(list(FIELDS))).withColumn(into, name(F.col(value))))
     return reduce(DataFrame.unionByName, parts)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.functions.text import collapse
 from docweave.operators import metrics
 from docweave.plans import extract as plan
 from docweave.queries import p6
@@ -26,6 +27,19 @@ def extract_cells(spark: SparkSession, folder: str) -> DataFrame:
     return plan.extract(cut(evidence_blocks(spark, folder))).withColumns({c: F.array_join(c, "|") for c in ("review_reasons", "block_ids")})
 
 
+def extract_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells by interval columns, with nearest columns as the fallback."""
+    made = plan.extract(cut(evidence_blocks(spark, folder)), grouping="interval")
+    return made.withColumns({c: F.array_join(c, "|") for c in ("review_reasons", "block_ids")})
+
+
+def extract_completed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every header field of every document and every field of every item, unknown where nothing was found."""
+    blocks = cut(evidence_blocks(spark, folder))
+    made = plan.completed(plan.extract(blocks), blocks)
+    return made.withColumns({c: F.array_join(c, "|") for c in ("review_reasons", "block_ids")})
+
+
 def extract_consistency(spark: SparkSession, folder: str) -> DataFrame:
     return plan.consistency(plan.extract(cut(evidence_blocks(spark, folder))))
 
@@ -35,7 +49,7 @@ def extract_agreement(spark: SparkSession, folder: str) -> DataFrame:
     ours = plan.extract(cut(evidence_blocks(spark, folder))).where("section = 'header'").select(F.col("run_id").alias("sample_id"), "field", F.col("value_status").alias("ps"), F.col("predicted_value").alias("pv"), F.lit(False).alias("reviewed"))
     given = p6.cells(spark, folder).where("section = 'header' and value_status is not null")
     text = F.from_json(F.concat(F.lit('{"t":'), "predicted_value", F.lit("}")), "t string")["t"]
-    gold = given.groupBy(F.col("source_ocr_run_id").alias("sample_id"), "field").agg(F.min(F.regexp_replace("value_status", '"', "")).alias("gs"), F.min(text).alias("gv"))
+    gold = given.groupBy(F.col("source_ocr_run_id").alias("sample_id"), "field").agg(F.min(F.regexp_replace("value_status", '"', "")).alias("gs"), F.min(collapse(text)).alias("gv"))
     return metrics.header_metrics(metrics.with_failures(gold, ours), ["field"]).select("field", "total", "scored", "gold_present", "predicted_present", "true_positive", "precision", "recall", "f1")
 
 
@@ -53,7 +67,7 @@ def window_counts_stream(spark: SparkSession, folder: str) -> DataFrame:
     return made
 
 
-QUERIES = {f.__name__: f for f in (evidence_blocks, extract_cells, extract_consistency, extract_agreement, telemetry_stream, window_counts_stream)}
+QUERIES = {f.__name__: f for f in (evidence_blocks, extract_cells, extract_intervals, extract_completed, extract_consistency, extract_agreement, telemetry_stream, window_counts_stream)}
 _C = "case event_type when 'view' then 1 when 'click' then -1 else 0 end"
 SQL = {
     "telemetry_stream": f"""with {EVENTS_SQL}, c as (select *, {_C} ch from ev where event_type in ('view','click','purchase')), s as (select *, sum(ch) over w d, lead(us) over w-us span from c window w as (partition by user_id order by us, event_id)),
