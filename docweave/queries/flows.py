@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docweave.functions.text import collapse
 from docweave.operators import metrics
 from docweave.plans import extract as plan
+from docweave.plans import receipts
 from docweave.queries import p6
 from docweave.queries.fixtures import EVENTS_SQL
 from docweave.session import cut
@@ -47,12 +48,35 @@ def extract_consistency(spark: SparkSession, folder: str) -> DataFrame:
 def extract_agreement(spark: SparkSession, folder: str) -> DataFrame:
     """Extracted header values against the results delivered for the same runs, by field."""
     ours = plan.extract(cut(evidence_blocks(spark, folder))).where("section = 'header'").select(F.col("run_id").alias("sample_id"), "field", F.col("value_status").alias("ps"), F.col("predicted_value").alias("pv"), F.lit(False).alias("reviewed"))
+    return _agreement(spark, folder, ours)
+
+
+def _agreement(spark: SparkSession, folder: str, ours: DataFrame) -> DataFrame:
     given = p6.cells(spark, folder).where("section = 'header' and value_status is not null")
     text = F.from_json(F.concat(F.lit('{"t":'), "predicted_value", F.lit("}")), "t string")["t"]
     gold = given.groupBy(F.col("source_ocr_run_id").alias("sample_id"), "field").agg(F.min(F.regexp_replace("value_status", '"', "")).alias("gs"), F.min(collapse(text)).alias("gv"))
     return metrics.header_metrics(metrics.with_failures(gold, ours), ["field"]).select("field", "total", "scored", "gold_present", "predicted_present", "true_positive", "precision", "recall", "f1")
 
 
+def extract_receipts(spark: SparkSession, folder: str) -> DataFrame:
+    """First-generation fields of every evidence run."""
+    made = receipts.extract(cut(evidence_blocks(spark, folder)))
+    return made.withColumns({c: F.array_join(c, "|") for c in ("review_reasons", "block_ids")})
+
+
+def receipt_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """How many candidates of each kind there are for each first-generation field, and their mean score."""
+    made = receipts.candidates(cut(evidence_blocks(spark, folder)))
+    return made.groupBy("field", "kind").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+def receipt_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """First-generation values against the results delivered for the same runs, by field."""
+    found = receipts.extract(cut(evidence_blocks(spark, folder)))
+    ours = found.select(F.col("run_id").alias("sample_id"), "field", F.col("value_status").alias("ps"), F.col("predicted_value").alias("pv"), F.col("machine_needs_review").alias("reviewed"))
+    return _agreement(spark, folder, ours).where(F.col("field").isin(receipts.FIELDS))
+
+
 def telemetry_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Active and paused time by user from a stream; the last update of each user holds."""
     events = jobs.source(spark, f"{folder}/events.parquet", EVENTS).where("event_type in ('view', 'click', 'purchase')").select("event_id", "user_id", "event_type", F.unix_micros("at").alias("us"))
@@ -67,7 +91,7 @@ def window_counts_stream(spark: SparkSession, folder: str) -> DataFrame:
     return made
 
 
-QUERIES = {f.__name__: f for f in (evidence_blocks, extract_cells, extract_intervals, extract_completed, extract_consistency, extract_agreement, telemetry_stream, window_counts_stream)}
+QUERIES = {f.__name__: f for f in (evidence_blocks, extract_cells, extract_intervals, extract_completed, extract_consistency, extract_agreement, extract_receipts, receipt_candidates, receipt_agreement, telemetry_stream, window_counts_stream)}
 _C = "case event_type when 'view' then 1 when 'click' then -1 else 0 end"
 SQL = {
     "telemetry_stream": f"""with {EVENTS_SQL}, c as (select *, {_C} ch from ev where event_type in ('view','click','purchase')), s as (select *, sum(ch) over w d, lead(us) over w-us span from c window w as (partition by user_id order by us, event_id)),
