@@ -61,15 +61,20 @@ def anchored_rows(blocks: DataFrame, doc: str = "doc_id", key: str = "ix", least
     """``visual_row`` of each block: it joins the row whose *first* block overlaps it vertically.
 
     Blocks are taken from top to bottom and left to right; of several rows that fit, the
-    one whose first block's top is nearest wins.  The extent of a row never grows.
+    one whose first block's top is nearest wins.  The extent of a row never grows, so rows
+    that end more than the greatest height above a block are not looked at again.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["top_y", "left_x", key])
         anchors: list[tuple[int, int]] = []
-        rows = []
+        rows, first = [], 0
+        highest = max(0, (pdf["bottom_y"] - pdf["top_y"]).max()) if len(pdf) else 0
         for top, bottom in zip(pdf["top_y"], pdf["bottom_y"], strict=True):
-            fitting = [(abs(top - t), i) for i, (t, b) in enumerate(anchors) if min(bottom, b) - max(top, t) >= least * min(bottom - top, b - t)]
+            while first < len(anchors) and anchors[first][0] + highest < top:  # tops only grow
+                first += 1
+            near = enumerate(anchors[first:], first)
+            fitting = [(abs(top - t), i) for i, (t, b) in near if min(bottom, b) - max(top, t) >= least * min(bottom - top, b - t)]
             if fitting:
                 rows.append(min(fitting)[1])
             else:
@@ -91,7 +96,9 @@ def continuation_chain(blocks: DataFrame, doc: str = "doc_id", key: str = "ix",
         pdf = pdf.sort_values(["top_y", "left_x", key])
         tails: list[list[int]] = []  # head, left, bottom, height
         heads = []
+        highest = max(0, (pdf["bottom_y"] - pdf["top_y"]).max()) if len(pdf) else 0
         for k, left, top, bottom in zip(pdf[key], pdf["left_x"], pdf["top_y"], pdf["bottom_y"], strict=True):
+            tails = [t for t in tails if top - t[2] <= gap * highest]  # the others end too far above all that follow
             fitting = [(top - t[2], abs(left - t[1]), i) for i, t in enumerate(tails) if 0 <= top - t[2] <= gap * t[3] and abs(left - t[1]) <= shift]
             if fitting:
                 tail = tails[min(fitting)[2]]

@@ -67,5 +67,5 @@ def envelope(df: DataFrame, size: int) -> DataFrame:
 
 def recent(df: DataFrame, at: str, days: int) -> DataFrame:
     """Rows at most ``days`` older than the newest row of the table; the newest time is a scalar subquery."""
-    newest = df.agg(F.max(at)).first()[0]
-    return df.where(F.col(at) >= F.lit(newest) - F.expr(f"interval {days} days")) if newest is not None else df.limit(0)
+    newest = df.agg(F.max(at)).scalar()
+    return df.where(F.col(at) >= newest - F.expr(f"interval {days} days"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.queries import evaluation, flows, layout, p6, records, review, text
+from docweave.queries import evaluation, flows, layout, p6, records, review, summaries, text
 
-_MODULES = [evaluation, layout, text, records, review, flows, p6]
+_MODULES = [evaluation, layout, text, records, review, summaries, flows, p6]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,14 +24,20 @@ def verify_artifacts(manifest: DataFrame, root: str) -> DataFrame:
     """``manifest`` (``path``, ``sha256``) with ``status``: OK, HASH, MISSING, or ESCAPES for paths out of the root."""
     spark = manifest.sparkSession
     safe = ~F.rlike("path", F.lit(r"(^|/)\.\.(/|$)|^/"))
+    base = _qualified(spark, root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    prefix = F.regexp_extract("file", r"^(.*)$", 1)
-    hashed = files.select(F.col("path").alias("file"), F.sha2("content", 256).alias("actual")).withColumn("file", prefix)
-    named = hashed.withColumn("path", F.regexp_replace("file", rf"^file:/*{root.rstrip('/').lstrip('/')}/", ""))
-    joined = manifest.join(named.select("path", "actual"), "path", "left")
+    inside = files.where(F.startswith("path", F.lit(f"{base}/")))
+    named = inside.select(F.substring("path", len(base) + 2, 1 << 20).alias("path"), F.sha2("content", 256).alias("actual"))
+    joined = manifest.join(named, "path", "left")
     return joined.withColumn("status", F.when(~safe, "ESCAPES").when(F.col("actual").isNull(), "MISSING").when(F.col("actual") == F.lower("sha256"), "OK").otherwise("HASH"))
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A folder's full name on its file system, as the file sources write it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
+
+
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """``id`` (file name without suffix) and ``text`` of plain-text files."""
     rows = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
@@ -39,11 +45,16 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_images(spark: SparkSession, folder: str, most: int = 10 * 1024 * 1024) -> DataFrame:
-    """``path``, ``length``, ``kind`` of files: the kind from their first bytes, null if unknown or over ``most`` bytes."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    """``path``, ``length``, ``kind`` of files: the kind from their first bytes, null if unknown or over ``most`` bytes.
+
+    Files over ``most`` are listed and not read.
+    """
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    rows = every.where(F.col("length") <= most)
     head = F.hex(F.substring("content", 1, 8))
     kind = F.when(F.startswith(head, F.lit("FFD8FF")), "image/jpeg").when(F.startswith(head, F.lit("89504E470D0A1A0A")), "image/png").when(F.startswith(head, F.lit("25504446")), "application/pdf")
-    return rows.select("path", "length", F.when(F.col("length") <= most, kind).alias("kind"))
+    large = every.where(F.col("length") > most).select("path", "length", F.lit(None).cast("string").alias("kind"))
+    return rows.select("path", "length", kind.alias("kind")).unionByName(large)
 
 
 def write_once(df: DataFrame, path: str, *partition: str) -> None:
@@ -52,7 +63,11 @@ def write_once(df: DataFrame, path: str, *partition: str) -> None:
 
 
 def write_report(metrics: DataFrame, path: str) -> None:
-    """A report as JSON lines with sorted keys, in one file; reports are small aggregates."""
+    """A report as JSON lines with sorted keys, in one file; reports are small aggregates and hold no NaN."""
+    numbers = [f.name for f in metrics.schema.fields if f.dataType.typeName() in ("double", "float")]
+    odd = metrics.where(" or ".join(f"isnan(`{c}`)" for c in numbers)).isEmpty() if numbers else True
+    if not odd:
+        raise ValueError("a report holds NaN")
     metrics.select(F.to_json(F.struct(*sorted(metrics.columns))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 

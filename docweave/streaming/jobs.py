@@ -1,7 +1,8 @@
 """Structured Streaming jobs over the event log: counts, first deliveries, active time.
 
-All keep bounded state: watermarks close windows, duplicates are forgotten after the
-watermark, and active time keeps three numbers a key.
+Watermarks close windows and duplicates are forgotten after the watermark, so those keep
+bounded state.  Active time is a running total: it keeps four numbers for every key it has
+seen, for as long as the stream lives, and takes events that come late as they come.
 """
 
 from __future__ import annotations
