@@ -150,9 +150,13 @@ def judge(documents: DataFrame) -> DataFrame:
     ``residue`` is ``template``, ``filler``, ``notice`` or null.
     """
     # Worked out once a row: behind an explode, what follows reads them as columns.
-    made = F.struct(_prose(F.col("text")).alias("prose"), strip_accents(F.lower(_prose(F.col("text")))).alias("folded"))
-    documents = documents.withColumn("forms__", F.explode_outer(F.array(made)))
-    prose, folded = F.col("forms__.prose"), F.col("forms__.folded")
+    documents = documents.withColumn("prose__", F.explode_outer(F.array(_prose(F.col("text")))))
+    prose = F.col("prose__")
+    # Plain ASCII has no accents to strip.
+    marked = F.rlike(prose, F.lit(r"[^\x00-\x7F]"))
+    made = F.when(marked, strip_accents(F.lower(prose))).otherwise(F.lower(prose))
+    documents = documents.withColumn("folded__", F.explode_outer(F.array(made)))
+    folded = F.col("folded__")
     seeded = F.lit(False)
     for seed in FILLER_SEEDS:
         seeded = seeded | F.contains(folded, F.lit(seed))
@@ -177,7 +181,7 @@ def judge(documents: DataFrame) -> DataFrame:
     rows = rows.withColumn("filler_share", _share(["filler", "latin"], whole)).withColumn("notice_share", _share(["notice"], whole - furniture)).drop("classes__")
     is_filler = F.coalesce("latin__", F.lit(False)) | (F.col("filler_share") >= FILLER_SHARE)
     residue = F.when(F.col("variables") > 0, "template").when(is_filler, "filler").when(F.col("notice_share") >= NOTICE_SHARE, "notice")
-    return rows.withColumn("residue", residue).drop("latin__", "forms__", "seeded__")
+    return rows.withColumn("residue", residue).drop("latin__", "prose__", "folded__", "seeded__")
 
 
 def found(documents: DataFrame) -> DataFrame:
