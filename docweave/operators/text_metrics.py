@@ -12,16 +12,52 @@ from pyspark.sql import functions as F
 from docweave.functions.text import collapse
 
 
+#: Edits up to which two texts are compared in the JVM, in a band of the matrix.
+NEAR = 16
+
+
+def _character_edits(a: str, b: str) -> int:
+    """Edits between two texts, a column of the matrix at a time as the bits of whole numbers.
+
+    ``up`` and ``down`` hold where a cell is one more or one less than the cell above it.
+    """
+    least = min(len(a), len(b))
+    start = next((i for i in range(least) if a[i] != b[i]), least)
+    end = next((i for i in range(least - start) if a[-1 - i] != b[-1 - i]), least - start)
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    whole, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, edits = whole, 0, len(a)
+    for c in b:
+        same = places.get(c, 0)
+        level = same | down
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (whole & ~(across | up)), up & across
+        edits += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & whole, less << 1 & whole
+        up, down = less | (whole & ~(level | more)), more & level
+    return edits
+
+
+def _character_series(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else _character_edits(a, b) for a, b in zip(reference, hypothesis, strict=True)], dtype="Int64")
+
+
 def character_errors(reference: Column, hypothesis: Column) -> tuple[Column, Column]:
     """Character edits and reference length, white space collapsed.
 
-    Within a bound only a band of the matrix is worked on: a small bound and an eighth of the
-    length are tried before the whole matrix, and each gives the exact edits or none.
+    Equal texts and those within ``NEAR`` edits are settled in the JVM; only the others, of
+    any length, leave it.
     """
     a, b = collapse(reference), collapse(hypothesis)
-    within = lambda most: F.get(F.filter(F.array(F.call_function("levenshtein", a, b, most)), lambda e: e >= 0), 0)
-    edits = F.when(a == b, 0).otherwise(F.coalesce(within(F.lit(16)), within(F.floor(F.length(a) / 8).cast("int") + 1), F.levenshtein(a, b)))
-    return edits.cast("long"), F.length(a).cast("long")
+    near = F.when(a == b, 0).otherwise(F.nullif(F.call_function("levenshtein", a, b, F.lit(NEAR)), F.lit(-1)))
+    far = near.isNull()
+    edits = F.coalesce(near.cast("long"), F.pandas_udf(_character_series, "long")(F.when(far, a), F.when(far, b)))
+    return edits, F.length(a).cast("long")
 
 
 def _word_edits(a: list[str], b: list[str]) -> int:

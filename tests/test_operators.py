@@ -126,3 +126,29 @@ def test_polygons(spark):
     assert [tuple(p) for p in made["o"]] == [(0.1, 0.1), (0.9, 0.1), (0.9, 0.5), (0.1, 0.5)] and abs(made["a"] - 0.32) < 1e-9
     turned = spark.range(1).select(evidence.unrotated(F.lit(0.2), F.lit(0.3), F.lit(90)).alias("q")).first()["q"]
     assert (turned["x"], turned["y"]) == (0.3, 0.8)
+
+
+def test_character_edits_by_bits(spark):
+    """The bit form against the plain matrix and against the JVM, near and far, with and without common ends."""
+    import random
+
+    from docweave.operators import text_metrics
+
+    draw = random.Random(6)
+    word = lambda n: "".join(draw.choice("abcế 𝄞") for _ in range(n))
+    pairs = [(word(draw.randrange(90)), word(draw.randrange(90))) for _ in range(60)] + [("", ""), ("", "abc"), ("abc", ""), ("a" * 200, "b" * 70), ("xx" + "a" * 80 + "yy", "xx" + "b" * 75 + "yy")]
+    for a, b in pairs:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert text_metrics._character_edits(a, b) == row[-1]
+    df = spark.createDataFrame([*pairs, (None, "a"), ("a", None)], "a string, b string")
+    edits, length = text_metrics.character_errors(F.col("a"), F.col("b"))
+    for r in df.select("a", "b", edits.alias("e"), length.alias("n")).collect():
+        if r["a"] is None or r["b"] is None:
+            assert r["e"] is None
+        else:
+            a, b = " ".join(r["a"].split()), " ".join(r["b"].split())
+            assert (r["e"], r["n"]) == (text_metrics._character_edits(a, b), len(a))
