@@ -1,12 +1,13 @@
 """Operators whose steps depend on the step before: folds and matchings, one document at a time.
 
-They run as Arrow-batched grouped functions; a document is the unit, so partitions hold
-many and none is larger than a document.
+They run as grouped functions on Arrow tables, read as plain lists; a document is the unit,
+so partitions hold many and none is larger than a document.
 """
 
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -23,10 +24,11 @@ def match_rows(edges: DataFrame, doc: str = "doc_id") -> DataFrame:
     can move (augmenting paths), so the number of matched rows is the largest possible.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pa.Table) -> pa.Table:
         wishes: dict[int, list[int]] = {}
-        for _, b, a in sorted(zip(-pdf["shared"].to_numpy(), pdf["row_b"].to_numpy(), pdf["row_a"].to_numpy(), strict=True)):
-            wishes.setdefault(int(a), []).append(int(b))
+        shared, row_b, row_a = (group.column(c).to_pylist() for c in ("shared", "row_b", "row_a"))
+        for _, b, a in sorted(zip([-s for s in shared], row_b, row_a, strict=True)):
+            wishes.setdefault(a, []).append(b)
         owner: dict[int, int] = {}
         held: dict[int, int] = {}
         for a in sorted(wishes):
@@ -52,9 +54,10 @@ def match_rows(edges: DataFrame, doc: str = "doc_id") -> DataFrame:
                 owner[end], held[row] = row, end
                 end = freed
         rows = sorted((a, b) for b, a in owner.items())
-        return pd.DataFrame({doc: pdf[doc].iloc[0], "row_a": [a for a, _ in rows], "row_b": [b for _, b in rows]})
+        ids = group.column(doc).slice(0, len(rows))
+        return pa.table({doc: ids, "row_a": pa.array([a for a, _ in rows], pa.int64()), "row_b": pa.array([b for _, b in rows], pa.int64())})
 
-    return edges.select(doc, "row_a", "row_b", "shared").groupBy(doc).applyInPandas(run, f"{_kinds(edges, doc)}, row_a long, row_b long")
+    return edges.select(doc, "row_a", "row_b", "shared").groupBy(doc).applyInArrow(run, f"{_kinds(edges, doc)}, row_a long, row_b long")
 
 
 def anchored_rows(blocks: DataFrame, doc: str = "doc_id", key: str = "ix", least: float = 0.35) -> DataFrame:
@@ -65,12 +68,13 @@ def anchored_rows(blocks: DataFrame, doc: str = "doc_id", key: str = "ix", least
     that end more than the greatest height above a block are not looked at again.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["top_y", "left_x", key])
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("top_y", "ascending"), ("left_x", "ascending"), (key, "ascending")])
+        tops, bottoms = group.column("top_y").to_pylist(), group.column("bottom_y").to_pylist()
         anchors: list[tuple[int, int]] = []
         rows, first = [], 0
-        highest = max(0, (pdf["bottom_y"] - pdf["top_y"]).max()) if len(pdf) else 0
-        for top, bottom in zip(pdf["top_y"], pdf["bottom_y"], strict=True):
+        highest = max([0, *[b - t for t, b in zip(tops, bottoms, strict=True)]])
+        for top, bottom in zip(tops, bottoms, strict=True):
             while first < len(anchors) and anchors[first][0] + highest < top:  # tops only grow
                 first += 1
             near = enumerate(anchors[first:], first)
@@ -80,9 +84,9 @@ def anchored_rows(blocks: DataFrame, doc: str = "doc_id", key: str = "ix", least
             else:
                 anchors.append((top, bottom))
                 rows.append(len(anchors) - 1)
-        return pd.DataFrame({doc: pdf[doc], key: pdf[key], "visual_row": rows})
+        return pa.table({doc: group.column(doc), key: group.column(key), "visual_row": pa.array(rows, pa.int64())})
 
-    return blocks.select(doc, key, "top_y", "bottom_y", "left_x").groupBy(doc).applyInPandas(run, f"{_kinds(blocks, doc, key)}, visual_row long")
+    return blocks.select(doc, key, "top_y", "bottom_y", "left_x").groupBy(doc).applyInArrow(run, f"{_kinds(blocks, doc, key)}, visual_row long")
 
 
 def continuation_chain(blocks: DataFrame, doc: str = "doc_id", key: str = "ix", gap: float = 1.1, shift: int = 20) -> DataFrame:
@@ -92,12 +96,13 @@ def continuation_chain(blocks: DataFrame, doc: str = "doc_id", key: str = "ix",
     and starts within ``shift`` of it; otherwise it heads a chain.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["top_y", "left_x", key])
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("top_y", "ascending"), ("left_x", "ascending"), (key, "ascending")])
+        keys, lefts, tops, bottoms = (group.column(c).to_pylist() for c in (key, "left_x", "top_y", "bottom_y"))
         tails: list[list[int]] = []  # head, left, bottom, height
         heads = []
-        highest = max(0, (pdf["bottom_y"] - pdf["top_y"]).max()) if len(pdf) else 0
-        for k, left, top, bottom in zip(pdf[key], pdf["left_x"], pdf["top_y"], pdf["bottom_y"], strict=True):
+        highest = max([0, *[b - t for t, b in zip(tops, bottoms, strict=True)]])
+        for k, left, top, bottom in zip(keys, lefts, tops, bottoms, strict=True):
             tails = [t for t in tails if top - t[2] <= gap * highest]  # the others end too far above all that follow
             fitting = [(top - t[2], abs(left - t[1]), i) for i, t in enumerate(tails) if 0 <= top - t[2] <= gap * t[3] and abs(left - t[1]) <= shift]
             if fitting:
@@ -107,9 +112,9 @@ def continuation_chain(blocks: DataFrame, doc: str = "doc_id", key: str = "ix",
             else:
                 tails.append([k, left, bottom, bottom - top])
                 heads.append(k)
-        return pd.DataFrame({doc: pdf[doc], key: pdf[key], "head": heads})
+        return pa.table({doc: group.column(doc), key: group.column(key), "head": pa.array(heads, pa.int64())})
 
-    return blocks.select(doc, key, "top_y", "bottom_y", "left_x").groupBy(doc).applyInPandas(run, f"{_kinds(blocks, doc)}, {key} long, head long")
+    return blocks.select(doc, key, "top_y", "bottom_y", "left_x").groupBy(doc).applyInArrow(run, f"{_kinds(blocks, doc)}, {key} long, head long")
 
 
 def compare_and_set(events: DataFrame, key: str, order: str, expected: str) -> DataFrame:
